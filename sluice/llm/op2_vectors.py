@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch, partitions
+from .shared import Scratch, blocks, partitions
 
 TABLES, WIDTH, STEP, BLOCK = 40, 8, 2.0, 1500
 HOT_BROADCAST = 20_000  # rows of (bucket, size) that may be broadcast; more are joined by shuffle
@@ -133,26 +133,6 @@ def _compare(block: dict, cosine: float) -> tuple[np.ndarray, np.ndarray, np.nda
     return ids[got], links[got], ids[root[got]]
 
 
-def _blocks(batches):
-    """Blocks of consecutive rows with one key, across batches."""
-    names = ("bucket", "i", "j")
-    held, key = [], None
-    for batch in batches:
-        cols = [np.asarray(batch.column(c)) for c in names]
-        if not batch.num_rows:
-            continue
-        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], 0)) + 1
-        for a, b in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows], strict=True):
-            now = tuple(int(c[a]) for c in cols)
-            if now != key and held:
-                yield key, held
-                held = []
-            key = now
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield key, held
-
-
 def near_duplicates(table: DataFrame, cosine: float = 0.9, tables: int = TABLES, width: int = WIDTH, step: float = STEP, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id (smallest vec_id reachable) and kept, one row for each row of ``table``.
 
@@ -179,7 +159,7 @@ def near_duplicates(table: DataFrame, cosine: float = 0.9, tables: int = TABLES,
     dealt = dealt.select("bucket", "i", "j", "part", "id", "weight", "v", "h").repartition(partitions(spark) * 2, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def run(batches):
-        for (bucket, i, j), held in _blocks(batches):
+        for (bucket, i, j), held in blocks(batches, ("bucket", "i", "j")):
             if sum(b.num_rows for b in held) < 2:
                 continue
             rows = pa.Table.from_batches(held)

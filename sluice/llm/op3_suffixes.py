@@ -92,9 +92,11 @@ def _sampled(offsets: np.ndarray, keys: list[bytes], v: int, residues: np.ndarra
 def _names(docs: DataFrame, length: int, parts: int) -> DataFrame:
     """Rows for the task that finds repeated names.
 
-    kind 0: piece and packed (name, offset in the piece), to part; kind 1: offsets already
-    repeated in the piece; kind 2: the piece's text offsets and keys.  A name that repeats
-    in a piece is sent on once only, so frequent passages do not gather in one task.
+    kind 0: piece and packed names, marks of text and position, and steps of the offsets in
+    the piece, to part; kind 1: offsets already repeated in the piece; kind 2: the piece's
+    text offsets and keys.  A name that repeats in a piece is sent on once only, so frequent
+    passages do not gather in one task.  Copies of one text have equal marks, so that a name
+    that only they hold does not count as repeated.
     """
     v, residues = cover(length)
     window = length - v + 1
@@ -108,17 +110,22 @@ def _names(docs: DataFrame, length: int, parts: int) -> DataFrame:
             piece, number = (task << 32) | number, number + 1
             at = _sampled(offsets, keys, v, residues, window)
             h = slices(prefix(data), at, at + window)
+            of = np.searchsorted(offsets, at, "right") - 1
+            seeds = np.array([int.from_bytes(k[4:12], "little") for k in keys], np.uint64)
+            mark = mix(seeds[of] + (at - offsets[of]).astype(np.uint64)).astype(np.uint32)
             order = np.argsort(h, kind="stable")
-            h, at = h[order], at[order].astype(np.uint32)
+            h, at, mark = h[order], at[order].astype(np.uint32), mark[order]
             new = np.append(True, h[1:] != h[:-1])
             more = np.append(new[1:], True)
             again = ~(new & more)
-            h, once = h[new], at[new]
+            h, once, mark = h[new], at[new], mark[new]
             to = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
+            order = np.lexsort((once, to))
             cut = np.searchsorted(to[order], np.arange(parts + 1))
-            both = np.stack([h.astype(np.uint32)[order], once[order]], 1)
-            rows = [(0, k, both[cut[k] : cut[k + 1]].tobytes()) for k in range(parts) if cut[k + 1] > cut[k]]
+            name, once, mark = h.astype(np.uint32)[order], once[order], mark[order]
+            step = np.diff(once, prepend=np.uint32(0))
+            step[cut[:-1][cut[1:] > cut[:-1]]] = once[cut[:-1][cut[1:] > cut[:-1]]]
+            rows = [(0, k, name[a:b].tobytes() + mark[a:b].tobytes() + step[a:b].tobytes()) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
             if again.any():
                 rows.append((1, piece % parts, at[again].tobytes()))
             rows.append((2, piece % parts, offsets.astype("<i8").tobytes() + b"".join(keys)))
@@ -139,19 +146,20 @@ def _repeated(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rest.column("piece"), rest.column("kind"), rest.column("data")], ["piece", "kind", "data"])
             for i in np.flatnonzero(kind == 0).tolist():
                 pieces_.append(b.column("piece")[i].as_py())
-                packed.append(np.frombuffer(b.column("data")[i].as_buffer(), np.uint32).reshape(-1, 2).copy())
+                packed.append(np.frombuffer(b.column("data")[i].as_buffer(), np.uint32).reshape(3, -1).copy())
+                packed[-1][2] = np.cumsum(packed[-1][2], dtype=np.uint32)
         if not packed:
             return
-        size = np.array([len(x) for x in packed])
-        both = np.concatenate(packed)
+        size = np.array([x.shape[1] for x in packed])
+        name, mark, offset = np.concatenate(packed, 1)
         of = np.repeat(np.arange(len(packed)), size)
         del packed
-        order = np.argsort(both[:, 0], kind="stable")
-        names = both[order, 0]
-        new = np.append(True, names[1:] != names[:-1])
-        found = order[~(new & np.append(new[1:], True))]
-        found.sort()
-        of, at = of[found], both[found, 1]
+        order = np.argsort(name, kind="stable")
+        names, mark = name[order], mark[order]
+        begin = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+        several = np.minimum.reduceat(mark, begin) != np.maximum.reduceat(mark, begin)
+        found = np.sort(order[np.repeat(several, np.diff(np.append(begin, len(names))))])
+        of, at = of[found], offset[found]
         cut = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of)) if len(of) else np.zeros(1, np.int64)
         for a in range(0, len(cut) - 1, 4096):
             to = min(a + 4096, len(cut) - 1)
@@ -201,7 +209,8 @@ def _packed_texts(docs: DataFrame, length: int) -> DataFrame:
 def _contexts(texts: DataFrame, length: int) -> DataFrame:
     """name, key, position, bytes before it and whether the same bytes were met again in the batch (kind 2).
 
-    ``data`` holds up to v - 1 bytes before the position and ``length`` after it.
+    ``data`` holds up to v - 1 bytes before the position and ``length`` after it.  All strings
+    of bytes that were met before repeat, so these are sent as covered spans at once (kind 3).
     """
     v, _ = cover(length)
     window, left = length - v + 1, v - 1
@@ -220,21 +229,33 @@ def _contexts(texts: DataFrame, length: int) -> DataFrame:
                     at = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in ats])).astype(np.int64)
                     p = prefix(np.frombuffer(text, np.uint8))
                     names = slices(p, at, at + window).view(np.int64)
+                    known: list[tuple[int, int, int]] = []
                     for name, i in zip(names.tolist(), at.tolist(), strict=True):
                         s = max(0, i - left)
                         c = text[s : i + length]
                         k = once.get(c)
                         if k is not None and rows[k][3] == i - s:
                             rows[k][5] = 2
-                            rows.append([name, key, i, i - s, b"", 3, len(c)])  # same bytes: all of its strings repeat
+                            known.append((i, i - s, len(c)))
                         else:
                             once[c] = len(rows)
-                            rows.append([name, key, i, i - s, c, 1, len(c)])
+                            rows.append([name, key, i, i - s, c, 1])
+                    if known:
+                        spans = _spans([key] * len(known), *_shifts(np.array(known), length))
+                        rows.append([int(names[0]), key, 0, 0, b"".join(spans.column("spans").to_pylist()), 3])
                 if rows:
-                    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["name", "key", "at", "back", "data", "kind", "size"])
+                    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["name", "key", "at", "back", "data", "kind"])
 
-    return texts.mapInArrow(run, "name long, key binary, at int, back int, data binary, kind int, size int")
+    return texts.mapInArrow(run, "name long, key binary, at int, back int, data binary, kind int")
+
+
+def _shifts(known: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end covered by all strings of ``length`` around positions (at, bytes before, bytes in all)."""
+    at, back, size = known.T
+    lo, hi = np.maximum(0, length - (size - back)), np.minimum(back, length)
+    row = np.flatnonzero(hi >= lo)
+    return row, at[row] - hi[row], at[row] - lo[row] + length
 
 
 def _covered(contexts: DataFrame, length: int) -> DataFrame:
@@ -281,10 +302,8 @@ def _covered(contexts: DataFrame, length: int) -> DataFrame:
         for b in [*_rest(batches), None]:
             if b is not None:
                 done = b.filter(pa.array(np.asarray(b.column("kind")) == 3))
-                if done.num_rows:  # met before with the same bytes
-                    at, back, size = (np.asarray(done.column(c)).astype(np.int64) for c in ("at", "back", "size"))
-                    good = (shifts <= back[:, None]) & (length - shifts <= (size - back)[:, None])
-                    yield _spans(done.column("key").to_pylist(), *spans(at, good))
+                if done.num_rows:
+                    yield pa.RecordBatch.from_arrays([done.column("key"), done.column("data")], ["key", "spans"])
                 b = b.filter(pa.array(np.asarray(b.column("kind")) != 3))
                 held.append(b)
                 waiting += b.num_rows
@@ -369,7 +388,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     repeated = scratch.keep(_repeated(rows), "names")
     # Texts that hold repeated names; the compressed text is shuffled once.
     at = _by_text(repeated).groupBy("key").agg(F.collect_list("at").alias("ats"))
-    texts = scratch.keep(_packed_texts(docs, length).join(at, "key"), "texts")
+    texts = scratch.keep(_packed_texts(docs, length).join(at, "key").dropDuplicates(["key"]), "texts")
     contexts = _contexts(texts, length).repartition(tasks, "name").sortWithinPartitions("name")
     covered = scratch.keep(_covered(contexts, length), "covered")
     spans = covered.groupBy("key").agg(F.collect_list("spans").alias("spans"))

@@ -12,7 +12,8 @@ has no common band with a probability under one in a million.
 
 Groups of copies cost no pairs: equal sets become one representative first; then each
 representative is held against the least member of its bands; then only buckets that
-still hold several components are searched, and only between components.
+still hold several components are searched, and only between components: block by block,
+with sketches first, so that a large bucket of dissimilar documents emits no pairs.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch
+from .shared import Scratch, blocks, partitions
 from .textbytes import lists, mix, pieces, utf8, words
 
 BANDS, ROWS = 60, 7
+BLOCK = 1000  # members of a bucket that meet in one task
 
 
 def shingles(column, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,13 +105,59 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
     return rows_in.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _sets(docs: DataFrame, width: int, bins: int) -> DataFrame:
+    """id, full set and the low bytes of its sketch."""
+
     def run(batches):
         for part in pieces(batches):
             sets, count = shingles(part.column("text"), width)
-            yield pa.RecordBatch.from_arrays([part.column("id"), lists(sets.view(np.int64), count, pa.int64())], ["id", "set"])
+            short = np.zeros((len(count), bins), np.uint8)
+            full = np.flatnonzero(count)
+            short[full] = sketches(sets, count[full], bins).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([part.column("id"), lists(sets.view(np.int64), count, pa.int64()), pa.array([s.tobytes() for s in short], pa.binary())], ["id", "set", "short"])
+
+    return docs.mapInArrow(run, "id long, set array<long>, short binary")
+
 
-    return docs.mapInArrow(run, "id long, set array<long>")
+def _between(rows: DataFrame, percent: int, bins: int, tasks: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components whose sketches do not exclude the similarity.
+
+    ``rows``: band, size, id, n, c (component), major (that of the bucket's least member)
+    and short.  A large bucket is split into parts that meet pairwise in tasks of their own; only
+    pairs that pass come out.  A pair is dropped if its sketches agree on so few coordinates
+    that a pair of this similarity does so with a probability under one in ten million.
+    """
+    share = percent / 100
+    least = int(bins * share - 5.2 * np.sqrt(bins * share * (1 - share)))
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "n", "c", "major", "short")
+    dealt = dealt.repartition(tasks, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+    def run(batches):
+        for (_, i, j), held in blocks(batches, ("band", "i", "j")):
+            rows = pa.Table.from_batches(held)
+            ids, n, c, major, part = (rows.column(k).to_numpy() for k in ("id", "n", "c", "major", "part"))
+            if (c == c[0]).all():
+                continue
+            short = np.frombuffer(b"".join(rows.column("short").to_pylist()), np.uint8).reshape(len(ids), bins)
+            minor = np.flatnonzero(c != major)
+            for at in range(0, len(minor), 16):
+                m = minor[at : at + 16]
+                ok = (c[m][:, None] != c[None, :]) & ((c == major)[None, :] | (ids[m][:, None] < ids[None, :]))
+                ok &= (n[m][:, None] * 100 >= n[None, :] * percent) & (n[None, :] * 100 >= n[m][:, None] * percent)
+                if i != j:
+                    ok &= part[m][:, None] != part[None, :]
+                x, y = np.nonzero(ok)
+                if not len(x):
+                    continue
+                for k in range(0, len(x), 20_000):
+                    u, w = m[x[k : k + 20_000]], y[k : k + 20_000]
+                    good = (short[u] == short[w]).sum(1) >= least
+                    if good.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[u[good]]), pa.array(ids[w[good]])], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -141,7 +189,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     members = scratch.keep(spread.join(shared, "band"), "members")
     wanted = members.select("id").distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    sets = scratch.keep(_sets(text.join(wanted, "id"), width), "sets")
+    sets = scratch.keep(_sets(text.join(wanted, "id"), width, bands * rows), "sets")
     # First: the member of its bands that each representative has most in common with.
     stars = members.where("id != pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("c"))
     first = stars.groupBy("id").agg(F.max_by("pivot", F.struct("c", (-F.col("pivot")).alias("p"))).alias("b")).select(F.col("id").alias("a"), "b")
@@ -155,13 +203,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     if more.limit(1).count():
         links = links.unionByName(more)
         group = scratch.keep(components(links, scratch), "groups")
-    # Last: buckets of three and more that hold several components, between components; sizes alone exclude many pairs.
-    placed = of(of(members.where("size > 2").withColumnRenamed("id", "a"), "a", "ca").withColumnRenamed("pivot", "b"), "b", "cp").select("band", "a", "n", "ca", "cp", F.col("b").alias("pivot"))
-    placed = scratch.keep(placed, "placed")
-    minor = placed.where("ca != cp").select("band", "a", "n", "ca", "cp")
-    other = placed.where("a != pivot").select("band", F.col("a").alias("b"), F.col("n").alias("m"), F.col("ca").alias("cb"))
-    third = minor.join(other, "band").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("cp")) | (F.col("a") < F.col("b"))))
-    third = third.where((F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)).select("a", "b").distinct()
+    # Last: buckets of three and more that hold several components, between components.
+    placed = of(of(members.where("size > 2"), "id", "c"), "pivot", "major")
+    placed = scratch.keep(placed.select("band", "size", "id", "n", "c", "major"), "placed")
+    mixed = placed.where("c != major").select("band").distinct()
+    short = sets.select("id", "short").dropDuplicates(["id"])
+    third = _between(placed.join(mixed, "band", "left_semi").join(short, "id"), percent, bands * rows, 2 * partitions(spark))
     more = scratch.keep(_confirmed(third, sets, percent), "links")
     if more.limit(1).count():
         group = scratch.keep(components(links.unionByName(more), scratch), "groups")

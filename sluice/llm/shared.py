@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +57,22 @@ def partitions(spark: SparkSession) -> int:
 def spread(df: DataFrame, spark: SparkSession, key: str, least: int = 0) -> DataFrame:
     """Deal rows by a unique key over tasks, so that few large input files do not bound the parallelism."""
     return df.repartition(max(least, partitions(spark)), F.col(key))
+
+
+def blocks(batches, names: tuple[str, ...]):
+    """From Arrow batches sorted by integer columns ``names``: each key and its batches, also across batch limits."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(batch.column(c)) for c in names]
+        change = (np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], 0)) + 1).tolist()
+        for a, b in zip([0, *change], [*change, batch.num_rows], strict=True):
+            now = tuple(int(c[a]) for c in cols)
+            if now != key and held:
+                yield key, held
+                held = []
+            key = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield key, held
