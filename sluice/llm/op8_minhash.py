@@ -120,18 +120,19 @@ def _sets(docs: DataFrame, width: int, bins: int) -> DataFrame:
 
 
 def _between(rows: DataFrame, percent: int, bins: int, tasks: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components whose sketches do not exclude the similarity.
+    """Links (a, b) between different components within one bucket, enough of them to join the same documents.
 
-    ``rows``: band, size, id, n, c (component), major (that of the bucket's least member)
-    and short.  A large bucket is split into parts that meet pairwise in tasks of their own; only
-    pairs that pass come out.  A pair is dropped if its sketches agree on so few coordinates
-    that a pair of this similarity does so with a probability under one in ten million.
+    ``rows``: band, size, id, n, c (component), major (that of the bucket's least member),
+    short and set.  A large bucket is split into parts that meet pairwise in tasks of their
+    own.  A pair is left out if its sketches agree on so few coordinates that a pair of this
+    similarity does so with a probability under one in ten million, or if links found before
+    join it; all others are confirmed on full sets here, so no candidate pair is emitted.
     """
     share = percent / 100
     least = int(bins * share - 5.2 * np.sqrt(bins * share * (1 - share)))
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "n", "c", "major", "short")
+    dealt = dealt.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "n", "c", "major", "short", "set")
     dealt = dealt.repartition(tasks, "band", "i", "j").sortWithinPartitions("band", "i", "j")
 
     def run(batches):
@@ -142,6 +143,17 @@ def _between(rows: DataFrame, percent: int, bins: int, tasks: int) -> DataFrame:
                 continue
             short = np.frombuffer(b"".join(rows.column("short").to_pylist()), np.uint8).reshape(len(ids), bins)
             minor = np.flatnonzero(c != major)
+            column = rows.column("set").combine_chunks()
+            edge, values = np.asarray(column.offsets), np.asarray(column.values)
+            root = {int(v): int(v) for v in np.unique(c)}
+
+            def find(v: int) -> int:
+                while root[v] != v:
+                    root[v] = root[root[v]]
+                    v = root[v]
+                return v
+
+            links = []
             for at in range(0, len(minor), 16):
                 m = minor[at : at + 16]
                 ok = (c[m][:, None] != c[None, :]) & ((c == major)[None, :] | (ids[m][:, None] < ids[None, :]))
@@ -149,13 +161,21 @@ def _between(rows: DataFrame, percent: int, bins: int, tasks: int) -> DataFrame:
                 if i != j:
                     ok &= part[m][:, None] != part[None, :]
                 x, y = np.nonzero(ok)
-                if not len(x):
-                    continue
                 for k in range(0, len(x), 20_000):
                     u, w = m[x[k : k + 20_000]], y[k : k + 20_000]
                     good = (short[u] == short[w]).sum(1) >= least
-                    if good.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[u[good]]), pa.array(ids[w[good]])], ["a", "b"])
+                    for p, q in zip(u[good].tolist(), w[good].tolist(), strict=True):
+                        f, g = find(int(c[p])), find(int(c[q]))
+                        if f == g:
+                            continue
+                        one, two = values[edge[p] : edge[p + 1]], values[edge[q] : edge[q + 1]]
+                        both = np.sort(np.concatenate([one, two]))
+                        same = int((both[1:] == both[:-1]).sum())
+                        if same * 100 >= percent * (len(both) - same):
+                            root[max(f, g)] = min(f, g)
+                            links.append((int(ids[p]), int(ids[q])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*links, strict=True)], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -207,9 +227,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     placed = of(of(members.where("size > 2"), "id", "c"), "pivot", "major")
     placed = scratch.keep(placed.select("band", "size", "id", "n", "c", "major"), "placed")
     mixed = placed.where("c != major").select("band").distinct()
-    short = sets.select("id", "short").dropDuplicates(["id"])
+    short = sets.select("id", "short", "set")
     third = _between(placed.join(mixed, "band", "left_semi").join(short, "id"), percent, bands * rows, 2 * partitions(spark))
-    more = scratch.keep(_confirmed(third, sets, percent), "links")
+    more = scratch.keep(third, "links")
     if more.limit(1).count():
         group = scratch.keep(components(links.unionByName(more), scratch), "groups")
     same = reps.select("k1", "k2", "id").join(group, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
