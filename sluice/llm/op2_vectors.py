@@ -9,7 +9,8 @@ Buckets are compared block by block as matrix products.  Nothing is emitted for
 block gives each vector the number of its links and the smallest id of its local
 component.  A pair that shares buckets in several tables counts in the first of them
 only.  Equal vectors are one weighted representative, and a bucket larger than ``block``
-is split into parts that meet pairwise in tasks of their own.
+is split into parts that meet pairwise in tasks of their own.  A row of a bucket carries the
+components as they were stored and the hashes of the tables before its own, nothing else.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .shared import Scratch, blocks, partitions
@@ -42,8 +44,14 @@ def _vectors(column) -> tuple[list[np.ndarray | None], np.ndarray]:
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max()  # no overflow or underflow in the squares
-    return x / np.sqrt((x * x).sum())
+    """Rows of unit length."""
+    x = x / np.abs(x).max(1, keepdims=True)  # no overflow or underflow in the squares
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _rows(data: list[bytes], kind: str) -> np.ndarray:
+    """Normalised vectors in double precision, of one dimension."""
+    return _normal(np.frombuffer(b"".join(data), kind).reshape(len(data), -1).astype(np.float64))
 
 
 def _hashes(x: np.ndarray, tables: int, width: int, step: float) -> np.ndarray:
@@ -58,33 +66,38 @@ def _hashes(x: np.ndarray, tables: int, width: int, step: float) -> np.ndarray:
     return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)).astype(np.int32)
 
 
-def _prepare(table: DataFrame) -> DataFrame:
-    """vec_id, key (of equal vectors; null if the vector links with nothing) and v (doubles as bytes)."""
+def _stored(table: DataFrame) -> str:
+    """The type that holds every component exactly: float32 if the column does, else float64."""
+    return "float32" if isinstance(table.schema["embedding"].dataType.elementType, T.FloatType) else "float64"
+
+
+def _prepare(table: DataFrame, kind: str) -> DataFrame:
+    """vec_id, key (of equal vectors; null if the vector links with nothing) and v (components as bytes)."""
 
     def run(batches):
         for batch in batches:
             vectors, _ = _vectors(batch.column("embedding"))
-            data = [None if x is None else (x + 0.0).tobytes() for x in vectors]
+            data = [None if x is None else (x + 0.0).astype(kind).tobytes() for x in vectors]
             keys = [None if d is None else hashlib.blake2b(d, digest_size=16).digest() for d in data]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["vec_id", "key", "v"])
 
     return table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "vec_id long, key binary, v binary")
 
 
-def _hashed(reps: DataFrame, tables: int, width: int, step: float) -> DataFrame:
-    """id, weight, v (normalised) and h (the buckets, as bytes of 32-bit integers) with their list."""
+def _hashed(reps: DataFrame, kind: str, tables: int, width: int, step: float) -> DataFrame:
+    """id, weight, v and h (the buckets, as bytes of 32-bit integers) with their list."""
 
     def run(batches):
         for batch in batches:
-            x = [_normal(np.frombuffer(b)) for b in batch.column("v").to_pylist()]
+            x = batch.column("v").to_pylist()
             h = np.zeros((len(x), tables), np.int32)
             size = np.array([len(v) for v in x])
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
-                h[at] = _hashes(np.stack([x[i] for i in at]), tables, width, step)
+                h[at] = _hashes(_rows([x[i] for i in at], kind), tables, width, step)
             both = h.astype(np.int64) | (np.arange(tables, dtype=np.int64) << 32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * tables, pa.int32()), pa.array(both.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("weight"), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([r.tobytes() for r in h], pa.binary()), lists], ["id", "weight", "v", "h", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("weight"), batch.column("v"), pa.array([r.tobytes() for r in h], pa.binary()), lists], ["id", "weight", "v", "h", "buckets"])
 
     return reps.mapInArrow(run, "id long, weight long, v binary, h binary, buckets array<long>")
 
@@ -143,11 +156,12 @@ def near_duplicates(table: DataFrame, cosine: float = 0.9, tables: int = TABLES,
     """
     spark = table.sparkSession
     scratch = Scratch(spark, "vectors")
-    every = scratch.keep(_prepare(table), "vectors")
+    kind = _stored(table)
+    every = scratch.keep(_prepare(table, kind), "vectors")
     reps = every.where("key is not null and vec_id is not null").groupBy("key").agg(F.min(F.struct("vec_id", "v")).alias("r"), F.count(F.lit(1)).alias("weight"))
     reps = reps.select("key", F.col("r.vec_id").alias("id"), "weight", F.col("r.v").alias("v"))
     keys = scratch.keep(reps, "representatives")
-    hashed = scratch.keep(_hashed(keys.select("id", "weight", "v"), tables, width, step), "hashed")
+    hashed = scratch.keep(_hashed(keys.select("id", "weight", "v"), kind, tables, width, step), "hashed")
     hot = scratch.keep(hashed.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block), "hot")
     n_hot = hot.count()
     spread = hashed.select("id", "weight", "v", "h", F.explode("buckets").alias("bucket"))
@@ -156,7 +170,8 @@ def near_duplicates(table: DataFrame, cosine: float = 0.9, tables: int = TABLES,
     spread = spread.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
     other = F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
     dealt = spread.select("id", "weight", "v", "h", "bucket", "part", other).select("*", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    dealt = dealt.select("bucket", "i", "j", "part", "id", "weight", "v", "h").repartition(partitions(spark) * 2, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    before = F.expr("substring(h, 1, 4 * cast(shiftright(bucket, 32) as int))").alias("h")
+    dealt = dealt.select("bucket", "i", "j", "part", "id", "weight", "v", before).repartition(partitions(spark) * 2, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def run(batches):
         for (bucket, i, j), held in blocks(batches, ("bucket", "i", "j")):
@@ -168,8 +183,8 @@ def near_duplicates(table: DataFrame, cosine: float = 0.9, tables: int = TABLES,
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
                 data = {
-                    "bucket": bucket, "cross": i != j, "x": np.frombuffer(b"".join(v[k] for k in at)).reshape(len(at), -1),
-                    "h": np.frombuffer(b"".join(rows.column("h").take(pa.array(at)).to_pylist()), np.int32).reshape(len(at), -1),
+                    "bucket": bucket, "cross": i != j, "x": _rows([v[k] for k in at], kind),
+                    "h": np.frombuffer(b"".join(rows.column("h").take(pa.array(at)).to_pylist()), np.int32).reshape(len(at), bucket >> 32),
                     "id": rows.column("id").to_numpy()[at], "weight": rows.column("weight").to_numpy()[at], "side": rows.column("part").to_numpy()[at],
                 }
                 ids, links, root = _compare(data, cosine)
