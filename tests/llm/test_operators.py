@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.llm import op1_templates, op2_vectors, op3_suffixes, op4_quality, op5_pii, op6_tokens, op7_pieces, op8_minhash, op9_urls, op10_html
 from sluice.llm.queries import URL_RULES, _vocabulary
@@ -317,6 +318,37 @@ def test_urls(spark):
     assert {r.score for r in op9_urls.url_filter(d.where("page_id > 602"), URL_RULES[:1]).collect()}
 
 
+def test_url_scores_are_exact(spark):
+    """Against counts in dictionaries, with more distinct grams than the 32,768 entries of a hashed array."""
+    import math
+    from collections import Counter
+
+    r = random.Random(3)
+    urls = [f"http://{h}/" + "".join(chr(r.randrange(0x4E00, 0x4E40)) for _ in range(40)) for h in ("a.org", "b.com/de", "c.net") for _ in range(400)] + ["http://", None]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    text = ["\x02" * 3 + (u.split("://", 1)[1] if u else "") for u in urls]
+    held = {x.page_id for x in d.where(F.pmod(F.xxhash64(F.lit("held"), op9_urls._padded(op9_urls.parts(F.col("url"))[2], 3)), F.lit(8)) == 0).collect()}
+    counts = [Counter(), Counter()]
+    for i in range(800):
+        if i not in held:
+            for k in range(3, len(text[i])):
+                for j in range(4):
+                    counts[i >= 400].update([(j, text[i][k - j : k + 1]), ("context", text[i][k - j : k])])
+    assert len(counts[0] + counts[1]) > 1 << 15
+
+    def p(c, t, k):
+        out = 1 / 256
+        for j in range(4):
+            out = (c[j, t[k - j : k + 1]] + 2 * out) / (c["context", t[k - j : k]] + 2)
+        return out
+
+    got = {x.page_id: x for x in op9_urls.url_filter(d, [("allow", "org/"), ("block", "com/de/")]).collect()}
+    assert len(got) == len(urls)
+    for i, t in enumerate(text):
+        want = [math.log(p(counts[0], t, k) / p(counts[1], t, k)) for k in range(3, len(t))] or [0.0]
+        assert abs(got[i].score - sum(want) / len(want)) < 1e-9
+
+
 def test_html(spark):
     page = (
         "<html><head><title>T</title><style>p{}</style><script>var a='<p>no</p>';</script></head><body><nav><ul><li><a href=x>Menu</a></li></ul></nav><header>Top</header><div class='ad'>Buy</div>"
