@@ -2,9 +2,10 @@
 
 ``html.parser`` events become blocks (what stands between block-level tags).  Each block
 is a line with a ratio of text characters to tags; the ratios are smoothed by a Gaussian
-and split into two clusters.  The content cluster votes for regions (article or main, else
-the block containers), and the regions it selects are returned whole, so that a short
-paragraph inside an article is never lost.  Elements that are never main text (menus,
+and split into two clusters.  The lines of the content cluster that are not mostly links
+vote, in all regions alike: article, main and the other block containers.  Their smallest
+common region is returned whole, so that a short paragraph or section is never lost; if it
+stands in an article or main, or is only a part (a section, a cell), what holds it is.  Elements that are never main text (menus,
 headers, footers, asides, forms, scripts, notices, adverts, comments) are left out before.
 """
 
@@ -26,6 +27,7 @@ SKIP = _WORDS("head title nav header footer aside form button select textarea if
 BLOCK = _WORDS("html body address article blockquote br center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr li main ol p pre section summary table tbody td tfoot th thead tr ul caption") | SKIP
 REGION = _WORDS("article main")
 CONTAINER = _WORDS("article main section div td body blockquote")
+PART = _WORDS("section td blockquote")  # never the whole of a text
 CLOSES_P = BLOCK - _WORDS("br html body td th tr tbody thead tfoot caption summary figcaption dt dd li")
 ROLES = _WORDS("navigation banner contentinfo complementary search form dialog alert menu menubar")
 NOISE = _WORDS(
@@ -51,12 +53,14 @@ def _noisy(attrs) -> bool:
 
 
 class _Blocks(HTMLParser):
-    """Blocks of a page as (text, tags, region): region is the innermost article or main, else the container."""
+    """Blocks of a page as (text, tags, region): region is the innermost container."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []  # name, whether what is inside is left out, region
         self.skip, self.region, self.regions = False, 0, [("body", 0)]  # kind and parent of each region
+        self.link, self.linked = False, 0  # whether in a link, and characters of the block in links
+        self.links: list[bool] = []  # of each block, whether it is mostly links
         self.text: list[str] = []
         self.tags = 1
         self.blocks: list[tuple[str, int, int]] = []
@@ -70,8 +74,9 @@ class _Blocks(HTMLParser):
             text = " ".join("".join(self.text).split())
             if text:
                 self.blocks.append((text, self.tags, self.region))
+                self.links.append(2 * self.linked > len(text))
                 self.tags = 1
-            self.text = []
+            self.text, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
@@ -87,9 +92,10 @@ class _Blocks(HTMLParser):
         if self.skip:
             return
         self.tags += 1
-        if tag in SKIP or attrs and tag not in ("html", "body") and tag not in REGION and _noisy(attrs):
+        self.link |= tag == "a" and any(name == "href" for name, _ in attrs)
+        if tag in SKIP or attrs and tag not in ("html", "body") and _noisy(attrs):
             self.skip = True
-        elif tag in REGION or (tag in CONTAINER and self.regions[self.region][0] not in REGION):
+        elif tag in CONTAINER:
             self.regions.append((tag, self.region))
             self.region = len(self.regions) - 1
 
@@ -104,6 +110,7 @@ class _Blocks(HTMLParser):
                 return  # a stray end tag does not close what is around it
 
     def handle_endtag(self, tag):
+        self.link &= tag != "a"
         if tag in BLOCK:
             self.flush()
         if tag not in VOID:
@@ -112,6 +119,8 @@ class _Blocks(HTMLParser):
     def handle_data(self, data):
         if not self.skip:
             self.text.append(data)
+            if self.link:
+                self.linked += len(data.strip())
 
 
 def _content(blocks: list[tuple[str, int, int]], sigma: float) -> np.ndarray:
@@ -161,27 +170,35 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     blocks = parser.blocks
     if not blocks:
         return ""
-    kinds = parser.regions
-    named = [b for b in blocks if kinds[b[2]][0] in REGION]
-    blocks = named or blocks
-    chosen = _content(blocks, sigma)
-    size: dict[int, int] = {}
-    for (text, _, region), yes in zip(blocks, chosen, strict=True):
-        if yes:
-            size[region] = size.get(region, 0) + len(text)
-    most = max(size.values())
-    keep = set(size) if named else {r for r, n in size.items() if 4 * n >= most}
-    if not named:  # inner containers of a chosen one belong to it
-        keep |= {b[2] for b in blocks if _inside(b[2], keep, kinds)}
-    return "\n".join(text for text, _, region in blocks if region in keep or named)
-
-
-def _inside(region: int, keep: set[int], kinds: list[tuple[str, int]]) -> bool:
-    while region:
-        region = kinds[region][1]
-        if region in keep and region:
-            return True
-    return False
+    regions = parser.regions
+    content = _content(blocks, sigma)
+    chosen = [b[2] for b, yes in zip(blocks, content, strict=True) if yes]
+    votes = [b[2] for b, yes, links in zip(blocks, content, parser.links, strict=True) if yes and not links]
+    top = _whole(functools.reduce(lambda a, b: _common(a, b, regions), votes or chosen), regions)
+    inside: list[bool] = []
+    for k, (_, parent) in enumerate(regions):
+        inside.append(k == top or k > 0 and inside[parent])
+    return "\n".join(text for text, _, region in blocks if inside[region])
+
+
+def _common(a: int, b: int, regions: list[tuple[str, int]]) -> int:
+    """The innermost region that holds both; a parent has a smaller number."""
+    while a != b:
+        if a > b:
+            a = regions[a][1]
+        else:
+            b = regions[b][1]
+    return a
+
+
+def _whole(region: int, regions: list[tuple[str, int]]) -> int:
+    """The article or main around ``region``; without one, what holds it if it is only a part of that."""
+    at = region
+    while at and regions[at][0] not in REGION:
+        at = regions[at][1]
+    while not at and regions[region][0] in PART and regions[regions[region][1]][0] != "body":
+        region = regions[region][1]
+    return at or region
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), sigma: float = 1.0) -> DataFrame:

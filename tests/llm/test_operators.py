@@ -364,6 +364,15 @@ def test_html(spark):
     assert op10_html.extract(d.limit(0)).count() == 0
 
 
+def test_html_article_is_only_a_prior():
+    body = "".join(f"<div><p>{'A sentence of the main text. ' * 12}</p></div>" for _ in range(3))
+    comment = f"<article class=comment><p>{'A reader says so. ' * 12}</p></article>"
+    teaser = op10_html.main_text(f"<body><div>{body}</div><article><a href=x>Read</a> <a href=y>more</a></article></body>")
+    assert teaser.count("main text") == 36
+    for page in (f"<body><div>{body}</div>{comment}</body>", f"<body><main><div>{body}</div></main>{comment}</body>"):
+        assert op10_html.main_text(page).count("main text") == 36 and "reader" not in op10_html.main_text(page)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
