@@ -6,7 +6,9 @@ and split into two clusters.  The lines of the content cluster that are not most
 vote, in all regions alike: article, main and the other block containers.  Their smallest
 common region is returned whole, so that a short paragraph or section is never lost; if it
 stands in an article or main, or is only a part (a section, a cell), what holds it is.  Elements that are never main text (menus,
-headers, footers, asides, forms, scripts, notices, adverts, comments) are left out before.
+headers, footers, asides, forms, scripts, notices, adverts, comments) are left out before:
+by tag, role or a whole class name; those with such a word in a longer name only if their
+text is mostly links.
 """
 
 from __future__ import annotations
@@ -39,11 +41,17 @@ NOISE = _WORDS(
 _TOKEN = re.compile(r"[a-z]+")
 
 
+def _suspect(attrs) -> bool:
+    """Whether a part of a class or id is a name of NOISE: then the element is left out if it is mostly links."""
+    return any(value and name in ("class", "id") and not NOISE.isdisjoint(_TOKEN.findall(value.lower())) for name, value in attrs)
+
+
 def _noisy(attrs) -> bool:
+    """Whether an element is left out whatever it holds."""
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if value and name in ("class", "id") and not NOISE.isdisjoint(_TOKEN.findall(value.lower())):
+        if value and name in ("class", "id") and not NOISE.isdisjoint(value.lower().split()):
             return True
         if value and name == "role" and value.lower() in ROLES:
             return True
@@ -59,8 +67,9 @@ class _Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []  # name, whether what is inside is left out, region
         self.skip, self.region, self.regions = False, 0, [("body", 0)]  # kind and parent of each region
+        self.suspects: list[int] = []  # regions with a doubtful name
         self.link, self.linked = False, 0  # whether in a link, and characters of the block in links
-        self.links: list[bool] = []  # of each block, whether it is mostly links
+        self.links: list[int] = []  # of each block, the characters in links
         self.text: list[str] = []
         self.tags = 1
         self.blocks: list[tuple[str, int, int]] = []
@@ -74,7 +83,7 @@ class _Blocks(HTMLParser):
             text = " ".join("".join(self.text).split())
             if text:
                 self.blocks.append((text, self.tags, self.region))
-                self.links.append(2 * self.linked > len(text))
+                self.links.append(self.linked)
                 self.tags = 1
             self.text, self.linked = [], 0
 
@@ -95,9 +104,13 @@ class _Blocks(HTMLParser):
         self.link |= tag == "a" and any(name == "href" for name, _ in attrs)
         if tag in SKIP or attrs and tag not in ("html", "body") and _noisy(attrs):
             self.skip = True
-        elif tag in CONTAINER:
+            return
+        doubt = bool(attrs) and tag in BLOCK and tag not in ("html", "body") and _suspect(attrs)
+        if tag in CONTAINER or doubt:
             self.regions.append((tag, self.region))
             self.region = len(self.regions) - 1
+            if doubt:
+                self.suspects.append(self.region)
 
     def _close(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
@@ -167,13 +180,15 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    blocks = parser.blocks
+    regions = parser.regions
+    gone = _mostly_links(parser) if parser.suspects else set()
+    blocks = [b for b in parser.blocks if b[2] not in gone] if gone else parser.blocks
+    links = [2 * n > len(b[0]) for b, n in zip(parser.blocks, parser.links, strict=True) if b[2] not in gone]
     if not blocks:
         return ""
-    regions = parser.regions
     content = _content(blocks, sigma)
     chosen = [b[2] for b, yes in zip(blocks, content, strict=True) if yes]
-    votes = [b[2] for b, yes, links in zip(blocks, content, parser.links, strict=True) if yes and not links]
+    votes = [b[2] for b, yes, link in zip(blocks, content, links, strict=True) if yes and not link]
     top = _whole(functools.reduce(lambda a, b: _common(a, b, regions), votes or chosen), regions)
     inside: list[bool] = []
     for k, (_, parent) in enumerate(regions):
@@ -181,6 +196,22 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     return "\n".join(text for text, _, region in blocks if inside[region])
 
 
+def _mostly_links(parser: _Blocks) -> set[int]:
+    """The suspect regions whose text is mostly in links, with all regions inside."""
+    size, linked = [0] * len(parser.regions), [0] * len(parser.regions)
+    for (text, _, region), n in zip(parser.blocks, parser.links, strict=True):
+        size[region] += len(text)
+        linked[region] += n
+    for k in range(len(size) - 1, 0, -1):
+        size[parser.regions[k][1]] += size[k]
+        linked[parser.regions[k][1]] += linked[k]
+    gone = {k for k in parser.suspects if 2 * linked[k] > size[k]}
+    for k in range(1, len(size)):
+        if parser.regions[k][1] in gone:
+            gone.add(k)
+    return gone
+
+
 def _common(a: int, b: int, regions: list[tuple[str, int]]) -> int:
     """The innermost region that holds both; a parent has a smaller number."""
     while a != b:

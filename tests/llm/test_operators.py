@@ -373,6 +373,19 @@ def test_html_article_is_only_a_prior():
         assert op10_html.main_text(page).count("main text") == 36 and "reader" not in op10_html.main_text(page)
 
 
+def test_html_keeps_short_sections_and_wrappers():
+    long, links = f"<p>{'A sentence of the main text. ' * 30}</p>", "<ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul>"
+    for tag in ("section", "div"):
+        parts = f"<{tag}>{long}</{tag}><{tag}><p>Short note.</p></{tag}><{tag}>{long}</{tag}><{tag}><p>Last words.</p></{tag}>"
+        text = op10_html.main_text(f"<body><div>{links}</div><div>{parts}</div><div>{links}</div></body>")
+        assert text.count("main text") == 60 and "Short note." in text and "Last words." in text and "Home" not in text
+    for name in ("site no-sidebar", "has-sidebar", "content-with-sidebar"):
+        text = op10_html.main_text(f"<body><div class='{name}'><div class=site-menu>{links}</div><article><h1 class=article-header>Title</h1>{long}</article></div></body>")
+        assert text.startswith("Title\n") and text.count("main text") == 30 and "Home" not in text
+    # A menu in the article under a longer name is still left out.
+    assert "Home" not in op10_html.main_text(f"<body><article>{long}<div class=related-links>{links}</div></article></body>")
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
