@@ -5,7 +5,7 @@ within a sentence) become typed placeholders, and what they stood for is kept as
 Windows of five template tokens, at least three of them words, are looked up in a hash
 table of the benchmark's windows.  A document that holds at least 0.8 of an item's windows
 is checked for slot consistency: equal values of the item must correspond to equal values
-in the document.  Such documents contain the item, with its own or with other values.
+in the document, along one chain of windows that grows in both.  Such documents contain the item, with its own or with other values.
 
 The benchmark is a stated query set: it is read in blocks of bounded size, each block is
 sent to the executors and held against every whole text.  Nothing of the documents is
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .textbytes import mix, pieces, prefix, runs, slices, utf8
 
 WINDOW, WORDS, SHARE = 5, 3, 0.8
-DRIFT = 20  # tokens by which an occurrence may be stretched between two windows
+DRIFT = 20  # tokens by which an occurrence may be stretched or shortened between two windows
 BLOCK_BYTES = 32 << 20  # of benchmark text sent to the executors at once
 
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
@@ -135,22 +135,31 @@ class Table:
         shift = there - self.first[which]
         order = np.lexsort((shift, pair))
         pair, which, there, shift = pair[order], which[order], there[order], shift[order]
-        # A run of windows at nearly the same distance is one occurrence of the item; a text may hold several.
+        # A run of windows at nearly the same distance holds one or more occurrences; each chain through it is checked on its own.
         new = np.append(True, (pair[1:] != pair[:-1]) | (shift[1:] - shift[:-1] > DRIFT))
         best: dict[int, tuple] = {}
         for a, b in zip(np.flatnonzero(new).tolist(), [*np.flatnonzero(new)[1:].tolist(), len(pair)], strict=True):
             row, item = divmod(int(pair[a]), len(self.ids))
-            matched = len(np.unique(which[a:b]))
-            if matched < share * self.total[item] or matched <= best.get(pair[a], (0, 0, 0, 0))[3]:
+            if len(np.unique(which[a:b])) < share * self.total[item]:
                 continue
-            k = np.arange(WINDOW)
-            mine, yours = (self.first[which[a:b]][:, None] + k).ravel(), (there[a:b][:, None] + k).ravel()
-            slots = self.slot[mine]
-            mine, yours = self.value[mine[slots]], t.value[yours[slots]]
-            if self._consistent(mine, yours, share):
-                best[pair[a]] = (row, self.ids[item], int(self.total[item]), matched, len(np.unique(mine)), len(np.unique(mine[mine != yours])))
+            for chain in _chains(self.first[which[a:b]], there[a:b]):
+                found = self._checked(which[a:b][chain], there[a:b][chain], t, item, share)
+                if found and (pair[a] not in best or (found[0], -found[2]) > (best[pair[a]][3], -best[pair[a]][5])):
+                    best[pair[a]] = (row, self.ids[item], int(self.total[item]), *found)
         return list(best.values())
 
+    def _checked(self, which: np.ndarray, there: np.ndarray, t: Templates, item: int, share: float) -> tuple[int, int, int] | None:
+        """matched, slots and changed slots of windows aligned one to one, if they are enough and consistent."""
+        if len(which) < share * self.total[item]:
+            return None
+        k = np.arange(WINDOW)
+        mine, yours = (self.first[which][:, None] + k).ravel(), (there[:, None] + k).ravel()
+        slots = self.slot[mine]
+        mine, yours = self.value[mine[slots]], t.value[yours[slots]]
+        if not self._consistent(mine, yours, share):
+            return None
+        return len(which), len(np.unique(mine)), len(np.unique(mine[mine != yours]))
+
     @staticmethod
     def _consistent(mine: np.ndarray, yours: np.ndarray, share: float) -> bool:
         """Whether each value of the item has one partner, but for a share of its places, and the other way round."""
@@ -165,6 +174,42 @@ class Table:
         return True
 
 
+def _chains(first: np.ndarray, there: np.ndarray):
+    """Index arrays of matches that grow in item and text: each exact shift, and the best chain that ends at each shift.
+
+    A chain may change its shift by ``DRIFT`` at once, for a quarter of a window.
+    """
+    shift = there - first
+    values, state = np.unique(shift, return_inverse=True)
+    for k in range(len(values)):
+        yield np.flatnonzero(state == k)
+    if len(values) == 1:
+        return
+    order = np.lexsort((there, first))
+    ends = np.append(np.flatnonzero(np.diff(first[order])) + 1, len(order))
+    score, last = np.full(len(values), -np.inf), np.full(len(values), -1)
+    before, begin = np.full(len(first), -1), 0
+    lo, hi = np.searchsorted(values, values - DRIFT), np.searchsorted(values, values + DRIFT, "right")
+    for end in ends.tolist():
+        group, begin = order[begin:end], end
+        news = []
+        for m in group.tolist():
+            k = state[m]
+            near = np.arange(lo[k], hi[k])
+            gain = score[near] - 0.25 * (near != k)
+            gain[(last[near] < 0) | (there[last[near]] >= there[m])] = 0
+            j = int(np.argmax(gain))
+            news.append((k, m, max(0.0, float(gain[j])) + 1, int(last[near[j]]) if gain[j] > 0 else -1))
+        for k, m, gain, back in news:
+            score[k], last[k], before[m] = gain, m, back
+    for m in last[last >= 0].tolist():
+        chain = []
+        while m >= 0:
+            chain.append(m)
+            m = int(before[m])
+        yield np.array(chain[::-1])
+
+
 def _tables(benchmark: DataFrame):
     """The benchmark's blocks, each of about ``BLOCK_BYTES``, as broadcast tables."""
     rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull())

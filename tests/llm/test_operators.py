@@ -299,6 +299,19 @@ def test_template_slots_must_agree():
     assert table.matches(pa.array([bad])) == []
 
 
+def test_templates_that_repeat():
+    item = "Tom has 3 red apples and Jane has 5 red apples and Bob has 7 red apples"
+    other = item.replace("Jane", "Eve").replace("3", "8").replace("5", "2").replace("7", "4")
+    table = op1_templates.Table([7], pa.array([item]))
+    found = table.matches(pa.array([item, other, f"{other} {item}"]))
+    assert [(m[0], m[5] > 0) for m in found] == [(0, False), (1, True), (2, False)]
+    long = " and ".join(f"w{i} x{i} Name{i} y{i}" for i in range(12))
+    assert len(op1_templates.Table([7], pa.array([long])).matches(pa.array([long.replace("w6", "two more words w6")]))) == 1
+    short = "we saw that Ann gave 3 pears to Bob and left"
+    one, two = short.replace("Ann", "Cid").replace("3", "4"), short.replace("Ann", "Eve").replace("Bob", "Fay")
+    assert len(op1_templates.Table([7], pa.array([short])).matches(pa.array([f"{one} {two} {one}"]))) == 1
+
+
 def test_urls(spark):
     urls = [f"http://good{i % 7}.org/en/{i}" for i in range(300)] + [f"http://spam-win{i % 7}.example.com/de/{i}" for i in range(300)]
     urls += ["https://a.example.org/es/x?y", "http://EXAMPLE.org/en/12#z", "http://notexample.org/es/", "http://spam-win9.net/de/7", "http://good9.net/en/7", "no scheme", "", None, "http://org", "x://b.com/fr/?q", "http://com/fr/"]
