@@ -1,7 +1,9 @@
 """Benchmark decontamination by templates, which also finds re-parameterised questions.
 
-Texts become sequences of tokens; numbers, units after numbers, and names (capitalised
-within a sentence) become typed placeholders, and what they stood for is kept as a slot.
+Texts become sequences of tokens; numbers (1,500 and 3.5 are one), units after numbers (also
+attached: 5kg), and names (capitalised within a sentence) become typed placeholders, and what
+they stood for is kept as a slot.  A capitalised word that opens a sentence may be either, so
+windows are looked up in both forms: as a word and as a name.
 Windows of five template tokens, at least three of them words, are looked up in a hash
 table of the benchmark's windows.  A document that holds at least 0.8 of an item's windows
 is checked for slot consistency: equal values of the item must correspond to equal values
@@ -41,6 +43,42 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:\n"]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
+_CASES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _cases(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each code point of ``size`` bytes: the one in lower case (if that has as many bytes), and whether it is a capital."""
+    if size not in _CASES:
+        end = (0x800, 0x10000, 0x20000)[size - 2]
+        chars = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(end)]
+        low = [x.lower() if x.isupper() or x.istitle() else x for x in chars]
+        _CASES[size] = (
+            np.array([ord(y) if len(y) == 1 and len(y.encode()) == size else k for k, y in enumerate(low)], np.int64),
+            np.array([x != y for x, y in zip(chars, low, strict=True)], bool),
+        )
+    return _CASES[size]
+
+
+def _lowered(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text in lower case, and a mark at the first byte of each capital."""
+    low, upper = _LOWER[data], (data >= 65) & (data <= 90)
+    for size, begin, end in ((2, 0xC3, 0xE0), (3, 0xE1, 0xF0), (4, 0xF0, 0xF1)):
+        at = np.flatnonzero((data >= begin) & (data < end))
+        if len(at):
+            code = data[at].astype(np.int64) & (0xFF >> (size + 1))
+            for k in range(1, size):
+                code = code << 6 | (data[at + k] & 0x3F)
+            lower, capital = _cases(size)
+            known = code < len(lower)
+            at, code = at[known], code[known]
+            at, code = at[capital[code]], code[capital[code]]
+            upper[at] = True
+            code = lower[code]
+            for k in range(size - 1, 0, -1):
+                low[at + k] = 0x80 | code & 0x3F
+                code = code >> 6
+            low[at] = code | (0xF00 >> size) & 0xFF
+    return low, upper
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -54,53 +92,72 @@ NUM, UNIT, NAME = (mix(np.array([k], np.uint64))[0] for k in (101, 102, 103))
 
 @dataclass
 class Templates:
-    """Tokens of a batch: template hash, value hash, row, whether a placeholder; and windows by first token."""
+    """Tokens of a batch: template and value hashes, row, whether a placeholder, whether a capital that opens a sentence.
+
+    For each window of five tokens of a row: its first token, whether it has enough words, its hash, and that with opening capitals as names.
+    """
 
-    template: np.ndarray
     value: np.ndarray
     row: np.ndarray
     slot: np.ndarray
+    opening: np.ndarray
     first: np.ndarray
+    eligible: np.ndarray
     window: np.ndarray
+    named: np.ndarray
 
 
 def _is_in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
+def _windows(template: np.ndarray) -> np.ndarray:
+    n = len(template) - WINDOW + 1
+    h = np.zeros(n, np.uint64)
+    for k in range(WINDOW):
+        h = mix(h ^ template[k : n + k])
+    return h
+
+
 def templates(column) -> Templates:
     data, offsets = utf8(column)
-    low = _LOWER[data]
-    latin = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
-    if len(latin):
-        low[latin] += 0x20
-    s, e, row = runs(_INSIDE[data], offsets)
-    value = slices(prefix(low), s, e)
+    low, capital = _lowered(data)
+    inside, digit = _INSIDE[data], _DIGIT[data]
+    if len(data) > 2:  # a point or comma between digits of a row
+        between = np.flatnonzero(digit[:-2] & digit[2:] & ((data[1:-1] == 44) | (data[1:-1] == 46))) + 1
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        between = between[~edge[between] & ~edge[between + 1]]
+        inside[between] = digit[between] = True
+    s, e, row = runs(inside, offsets)
+    sums = prefix(low)
+    other = np.append(np.flatnonzero(~digit), len(data))
+    to = other[np.searchsorted(other, s)] if len(s) else s
+    cut = np.flatnonzero((to > s) & (to < e))
+    cut = cut[_is_in(slices(sums, to[cut], e[cut]), _UNITS)] if len(cut) else cut
+    if len(cut):  # a unit attached to its number is a token of its own
+        s, e, row = np.insert(s, cut + 1, to[cut]), np.insert(e, cut, to[cut]), np.insert(row, cut + 1, row[cut])
+    value = slices(sums, s, e)
     start = np.append(True, row[1:] != row[:-1]) if len(row) else np.zeros(0, bool)
-    stops, digits = np.append(0, np.cumsum(_STOP[data])), np.append(0, np.cumsum(_DIGIT[data]))
+    stops, digits = np.append(0, np.cumsum(_STOP[data])), np.append(0, np.cumsum(digit))
     before = np.append(0, e[:-1]) if len(e) else e
     opens = start | (stops[s] > stops[before])
     number = (digits[e] - digits[s] == e - s) | _is_in(value, _NUMBER_WORDS) if len(s) else np.zeros(0, bool)
     unit = np.zeros(len(s), bool)
     if len(s) > 1:
         unit[1:] = number[:-1] & ~start[1:] & _is_in(value[1:], _UNITS)
-    upper = low[s] != data[s] if len(s) else np.zeros(0, bool)
-    if len(latin) and len(s):
-        wide = np.flatnonzero((data[s] == 0xC3) & (e - s > 1))
-        upper[wide] = low[s[wide] + 1] != data[s[wide] + 1]
-    name = upper & ~opens & ~number & ~unit
+    upper = capital[s] & ~number & ~unit if len(s) else np.zeros(0, bool)
+    name, opening = upper & ~opens, upper & opens
     template = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, value)))
     slot = number | unit | name
     n = len(s) - WINDOW + 1
     if n <= 0:
-        none = np.zeros(0, np.int64)
-        return Templates(template, value, row, slot, none, np.zeros(0, np.uint64))
-    h = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
-        h = mix(h ^ template[k : n + k])
+        none, no = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return Templates(value, row, slot, opening, none, none.astype(bool), no, no)
     count = np.append(0, np.cumsum(~slot))
-    ok = (row[:n] == row[WINDOW - 1 :]) & (count[WINDOW:] - count[:n] >= WORDS)
-    return Templates(template, value, row, slot, np.flatnonzero(ok), h[ok])
+    first = np.flatnonzero(row[:n] == row[WINDOW - 1 :])
+    eligible = count[first + WINDOW] - count[first] >= WORDS
+    return Templates(value, row, slot, opening, first, eligible, _windows(template)[first], _windows(np.where(opening, NAME, template))[first])
 
 
 class Table:
@@ -110,37 +167,44 @@ class Table:
         t = templates(column)
         begins = np.searchsorted(t.row, np.arange(len(ids)))
         # The first token may have another case within a document, so windows that hold it do not count, if others remain.
-        item = t.row[t.first] if len(t.first) else np.zeros(0, np.int64)
-        inner = t.first > begins[item] if len(item) else np.zeros(0, bool)
+        first, window, named = t.first[t.eligible], t.window[t.eligible], t.named[t.eligible]
+        item = t.row[first] if len(first) else np.zeros(0, np.int64)
+        inner = first > begins[item] if len(item) else np.zeros(0, bool)
         has = np.bincount(item[inner], minlength=len(ids)) > 0
         use = inner | ~has[item] if len(item) else inner
-        order = np.argsort(t.window[use], kind="stable")
-        self.hash, self.item, self.first = t.window[use][order], item[use][order], t.first[use][order]
-        self.value, self.slot, self.ids = t.value, t.slot, ids
-        self.total = np.bincount(self.item, minlength=len(ids))
+        self.total = np.bincount(item[use], minlength=len(ids))
+        both = use & (named != window)
+        self.hash, self.item, self.first = (np.concatenate([x[use], y[both]]) for x, y in ((window, named), (item, item), (first, first)))
+        order = np.argsort(self.hash, kind="stable")
+        self.hash, self.item, self.first = self.hash[order], self.item[order], self.first[order]
+        self.value, self.slot, self.opening, self.ids = t.value, t.slot, t.opening, ids
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.hash & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
     def matches(self, column, share: float = SHARE) -> list[tuple]:
         """(row, item id, windows, matched, slots, changed slots) of the texts that contain an item consistently."""
         t = templates(column)
-        near = np.flatnonzero(self.seen[(t.window & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.hash, t.window[near], "left"), np.searchsorted(self.hash, t.window[near], "right")
+        both = t.named != t.window
+        window, first = np.append(t.window, t.named[both]), np.append(t.first, t.first[both])
+        near = np.flatnonzero(self.seen[(window & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        lo, hi = np.searchsorted(self.hash, window[near], "left"), np.searchsorted(self.hash, window[near], "right")
         count = hi - lo
         if not count.sum():
             return []
         which = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        there = np.repeat(t.first[near], count)
+        there = np.repeat(first[near], count)
         pair = t.row[there] * len(self.ids) + self.item[which]
         shift = there - self.first[which]
-        order = np.lexsort((shift, pair))
+        order = np.lexsort((there, shift, pair))
         pair, which, there, shift = pair[order], which[order], there[order], shift[order]
+        once = np.append(True, (pair[1:] != pair[:-1]) | (shift[1:] != shift[:-1]) | (there[1:] != there[:-1]))  # one may agree in both forms
+        pair, which, there, shift = pair[once], which[once], there[once], shift[once]
         # A run of windows at nearly the same distance holds one or more occurrences; each chain through it is checked on its own.
         new = np.append(True, (pair[1:] != pair[:-1]) | (shift[1:] - shift[:-1] > DRIFT))
         best: dict[int, tuple] = {}
         for a, b in zip(np.flatnonzero(new).tolist(), [*np.flatnonzero(new)[1:].tolist(), len(pair)], strict=True):
             row, item = divmod(int(pair[a]), len(self.ids))
-            if len(np.unique(which[a:b])) < share * self.total[item]:
+            if len(np.unique(self.first[which[a:b]])) < share * self.total[item]:
                 continue
             for chain in _chains(self.first[which[a:b]], there[a:b]):
                 found = self._checked(which[a:b][chain], there[a:b][chain], t, item, share)
@@ -153,9 +217,19 @@ class Table:
         if len(which) < share * self.total[item]:
             return None
         k = np.arange(WINDOW)
-        mine, yours = (self.first[which][:, None] + k).ravel(), (there[:, None] + k).ravel()
-        slots = self.slot[mine]
-        mine, yours = self.value[mine[slots]], t.value[yours[slots]]
+        mine, yours = self.first[which][:, None] + k, there[:, None] + k
+        slots, opening, mine, yours = self.slot[mine], self.opening[mine], self.value[mine], t.value[yours]
+        if (mine != yours)[opening].any():
+            # An opening word that differs counts as a name, where it has the usual partner of that name.
+            keys, n = np.unique(np.stack([mine[slots | opening], yours[slots | opening]]), axis=1, return_counts=True)
+            partner = dict(zip(*keys[:, np.argsort(n, kind="stable")].tolist(), strict=True))
+            usual = np.array([[partner.get(x, x) for x in r] for r in mine.tolist()], np.uint64)
+            stay = ~(opening & (yours != usual)).any(axis=1)
+            if stay.sum() < share * self.total[item]:
+                return None
+            slots, mine, yours = (slots | opening & (usual != mine))[stay], mine[stay], yours[stay]
+            which = which[stay]
+        mine, yours = mine[slots], yours[slots]
         if not self._consistent(mine, yours, share):
             return None
         return len(which), len(np.unique(mine)), len(np.unique(mine[mine != yours]))

@@ -312,6 +312,19 @@ def test_templates_that_repeat():
     assert len(op1_templates.Table([7], pa.array([short])).matches(pa.array([f"{one} {two} {one}"]))) == 1
 
 
+def test_template_names_and_numbers_of_all_forms():
+    def found(item, text):
+        return [m[5] > 0 for m in op1_templates.Table([7], pa.array([item])).matches(pa.array([text]))]
+
+    item = "Tom has 12 apples. Tom buys 5 more apples. Tom gives 3 apples to Bob. How many apples does Tom have now?"
+    assert found(item, item) == [False] and found(item, item.lower().replace("tom", "Tom").replace("bob", "Bob")) == [False]
+    assert found(item, item.replace("Tom", "Ann")) == found(item, "Now " + item.replace("Tom", "Šárka").replace("Bob", "Łucja")) == [True]
+    assert found(item, item.replace("Tom", "Ольга").replace("Bob", "Ạnh")) == [True]
+    assert found(item, item.replace("Tom", "Ann", 1).replace("Tom", "Eve", 1).replace("Tom", "Fay")) == []
+    item = "the shop sold 3 of the 40 kg bags and then took 7 of them to the store with 2 kg of rice"
+    assert found(item, item.replace("40 kg", "1,500kg").replace("7", "3.5").replace("2 kg", "2.25kg")) == [True]
+
+
 def test_urls(spark):
     urls = [f"http://good{i % 7}.org/en/{i}" for i in range(300)] + [f"http://spam-win{i % 7}.example.com/de/{i}" for i in range(300)]
     urls += ["https://a.example.org/es/x?y", "http://EXAMPLE.org/en/12#z", "http://notexample.org/es/", "http://spam-win9.net/de/7", "http://good9.net/en/7", "no scheme", "", None, "http://org", "x://b.com/fr/?q", "http://com/fr/"]
