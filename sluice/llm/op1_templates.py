@@ -9,6 +9,10 @@ table of the benchmark's windows.  A document that holds at least 0.8 of an item
 is checked for slot consistency: equal values of the item must correspond to equal values
 in the document, along one chain of windows that grows in both.  Such documents contain the item, with its own or with other values.
 
+Items without such a window (short, or mainly numbers and names) are looked up by their whole
+template: with three words or more the slots must agree exactly, with fewer the whole item
+must stand in the document, but for case and space.
+
 The benchmark is a stated query set: it is read in blocks of bounded size, each block is
 sent to the executors and held against every whole text.  Nothing of the documents is
 shuffled, so neither frequent passages nor large groups of copies matter.
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import mix, pieces, prefix, runs, slices, utf8
+from .textbytes import mix, pieces, powers, prefix, runs, slices, utf8
 
 WINDOW, WORDS, SHARE = 5, 3, 0.8
 DRIFT = 20  # tokens by which an occurrence may be stretched or shortened between two windows
@@ -41,6 +45,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:\n"]] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(9, 14)]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _CASES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -105,6 +111,10 @@ class Templates:
     eligible: np.ndarray
     window: np.ndarray
     named: np.ndarray
+    template: np.ndarray
+    begin: np.ndarray  # of each token in the text without space, and its end
+    end: np.ndarray
+    packed: np.ndarray  # prefix sums of that text
 
 
 def _is_in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -119,6 +129,12 @@ def _windows(template: np.ndarray) -> np.ndarray:
     return h
 
 
+def _forms(t: Templates) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums for ``slices`` over the tokens' values, and over their templates with opening capitals as names."""
+    power, _ = powers(len(t.value) + 1)
+    return tuple(np.append(np.uint64(0), np.cumsum(x * power[: len(x)])) for x in (t.value, np.where(t.opening, NAME, t.template)))
+
+
 def templates(column) -> Templates:
     data, offsets = utf8(column)
     low, capital = _lowered(data)
@@ -150,14 +166,17 @@ def templates(column) -> Templates:
     name, opening = upper & ~opens, upper & opens
     template = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, value)))
     slot = number | unit | name
+    solid = ~_SPACE[data]
+    places = np.append(0, np.cumsum(solid))
+    packed = places[s], places[e], prefix(low[solid])
     n = len(s) - WINDOW + 1
     if n <= 0:
         none, no = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        return Templates(value, row, slot, opening, none, none.astype(bool), no, no)
+        return Templates(value, row, slot, opening, none, none.astype(bool), no, no, template, *packed)
     count = np.append(0, np.cumsum(~slot))
     first = np.flatnonzero(row[:n] == row[WINDOW - 1 :])
     eligible = count[first + WINDOW] - count[first] >= WORDS
-    return Templates(value, row, slot, opening, first, eligible, _windows(template)[first], _windows(np.where(opening, NAME, template))[first])
+    return Templates(value, row, slot, opening, first, eligible, _windows(template)[first], _windows(np.where(opening, NAME, template))[first], template, *packed)
 
 
 class Table:
@@ -178,12 +197,54 @@ class Table:
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.item, self.first = self.hash[order], self.item[order], self.first[order]
         self.value, self.slot, self.opening, self.ids = t.value, t.slot, t.opening, ids
+        # Items without a window, by number of tokens and form (values, or templates if they have words): sorted hashes, and the items.
+        self.whole: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
+        self.begins, lengths = begins, np.bincount(t.row, minlength=len(ids)) if len(t.row) else np.zeros(len(ids), np.int64)
+        words = np.bincount(t.row[~t.slot], minlength=len(ids)) if len(t.row) else lengths
+        self.verbatim = words < WORDS
+        short = np.flatnonzero((self.total == 0) & (lengths > 0))
+        sums = _forms(t)
+        self.text = np.zeros(len(ids), np.uint64)
+        self.text[short] = slices(t.packed, t.begin[begins[short]], t.end[begins[short] + lengths[short] - 1])
+        for n in np.unique(lengths[short]).tolist():
+            for form in (False, True):
+                mine = short[(lengths[short] == n) & ~(form & self.verbatim[short])]
+                h = slices(sums[form], begins[mine], begins[mine] + n)
+                order = np.argsort(h, kind="stable")
+                if len(mine):
+                    self.whole[n, form] = h[order], mine[order]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.hash & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
     def matches(self, column, share: float = SHARE) -> list[tuple]:
         """(row, item id, windows, matched, slots, changed slots) of the texts that contain an item consistently."""
         t = templates(column)
+        return self._by_windows(t, share) + self._by_whole(t)
+
+    def _by_whole(self, t: Templates) -> list[tuple]:
+        """Items without a window: equal templates, then equal texts or slots that agree exactly."""
+        best: dict[tuple, tuple] = {}
+        sums = _forms(t) if self.whole else None
+        for (n, form), (hashes, items) in self.whole.items():
+            at = np.flatnonzero(t.row[: len(t.row) - n + 1] == t.row[n - 1 :]) if len(t.row) >= n else np.zeros(0, np.int64)
+            if not len(at):
+                continue
+            h = slices(sums[form], at, at + n)
+            near = _is_in(h, hashes)
+            at, h = at[near], h[near]
+            text = slices(t.packed, t.begin[at], t.end[at + n - 1])
+            for a, x, lo, hi in zip(at.tolist(), text.tolist(), np.searchsorted(hashes, h, "left").tolist(), np.searchsorted(hashes, h, "right").tolist(), strict=True):
+                for item in items[lo:hi].tolist():
+                    k = slice(self.begins[item], self.begins[item] + n)
+                    slots = self.slot[k] | self.opening[k]
+                    mine, yours = self.value[k][slots], t.value[a : a + n][slots]
+                    if int(self.text[item]) == x if self.verbatim[item] else self._consistent(mine, yours, 1.0):
+                        key, changed = (int(t.row[a]), item), len(np.unique(mine[mine != yours]))
+                        if key not in best or changed < best[key][5]:
+                            best[key] = (key[0], self.ids[item], 1, 1, len(np.unique(self.value[k][self.slot[k]])), changed)
+        return list(best.values())
+
+    def _by_windows(self, t: Templates, share: float) -> list[tuple]:
         both = t.named != t.window
         window, first = np.append(t.window, t.named[both]), np.append(t.first, t.first[both])
         near = np.flatnonzero(self.seen[(window & np.uint64((1 << 20) - 1)).astype(np.int64)])
@@ -298,9 +359,9 @@ def find(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFra
     """doc_id, item_id, n_windows, n_matched, coverage, n_slots, n_changed: a row for each item that a document contains.
 
     ``n_changed`` counts the item's slot values that differ in the document; over 0 means a
-    re-parameterised question.  Null and empty texts, items without a window (fewer than five
-    tokens, or fewer than three words in each five) and empty tables give no rows.  Repeated documents and items are
-    each reported.  Other columns are not read.
+    re-parameterised question.  An item without a window (fewer than five tokens, or fewer than
+    three words in each five) counts as one.  Null and empty texts, items without a token and empty
+    tables give no rows.  Repeated documents and items are each reported.  Other columns are not read.
     """
     schema = "doc_id long, item_id long, n_windows long, n_matched long, coverage double, n_slots long, n_changed long"
 

@@ -325,6 +325,18 @@ def test_template_names_and_numbers_of_all_forms():
     assert found(item, item.replace("40 kg", "1,500kg").replace("7", "3.5").replace("2 kg", "2.25kg")) == [True]
 
 
+def test_items_without_a_window():
+    def found(item, text):
+        return [m[5] > 0 for m in op1_templates.Table([7], pa.array([item])).matches(pa.array([text]))]
+
+    for item in ("What is 12 * 7 + 5?", "Add 12, 7 and 30, 5.", "12 * 7 = 84", "Bob?"):
+        assert found(item, f"Some text. {item} And more.") == found(item, f"so {item.lower().replace(' ', '  ')}") == [False]
+    assert found("What is 12 * 7 + 5?", "What is 12 + 7 * 5?") == found("12 * 7 = 84", "13 * 7 = 91") == []
+    item = "Add 12 and 7, then take 12 off"
+    assert found(item, "So: Add 30 and 8, then take 30 off.") == [True] and found(item, "So: Add 30 and 8, then take 31 off.") == []
+    assert found("what is this", "and what is this?") == [False] and found("...", "...") == []
+
+
 def test_urls(spark):
     urls = [f"http://good{i % 7}.org/en/{i}" for i in range(300)] + [f"http://spam-win{i % 7}.example.com/de/{i}" for i in range(300)]
     urls += ["https://a.example.org/es/x?y", "http://EXAMPLE.org/en/12#z", "http://notexample.org/es/", "http://spam-win9.net/de/7", "http://good9.net/en/7", "no scheme", "", None, "http://org", "x://b.com/fr/?q", "http://com/fr/"]
