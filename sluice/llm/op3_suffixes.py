@@ -3,19 +3,18 @@
 A difference cover modulo v holds, for any two positions i and j, a shift below v that
 brings both into the sampled residues.  So two texts that share a string of ``length``
 bytes share a sampled position whose next ``length - v + 1`` bytes agree, and the bytes
-around it decide the rest.  The steps of the classical algorithm are kept, cut to the
-depth that is needed:
-
-* sampled suffixes are sorted by a prefix of ``length - v + 1`` bytes and so get names
-  (instead of triples modulo 3: tuples modulo 133, of which 9 % are sampled);
-* only names that occur twice go on: equal names are the recursion's shorter problem;
-* around these, every suffix i is placed by the sampled one at i + shift, with the bytes
-  before it: the merge of the remaining suffixes;
-* neighbours of one name are compared over the full ``length``, and the bytes that equal
-  strings cover are removed.
-
-One level of recursion suffices because strings longer than ``length`` need not be told
-apart.  Nothing longer than a few hundred bytes around a repeated name is shuffled.
+around it decide the rest.  Only the sampling is that of the classical algorithm; its
+sort, recursion and merge are replaced by grouping hashes:
+
+* windows of ``length - v + 1`` bytes at sampled positions get a 64-bit polynomial hash as
+  their name (32 bits within a part; 9 % of all positions are sampled);
+* only names that occur twice go on, grouped by hash, not by an order of suffixes;
+* the bytes around these are compared at all shifts by hashes over the full ``length``,
+  and the bytes that equal strings cover are removed.
+
+No order is needed because strings longer than ``length`` need not be told apart; the
+result is exact but for hash collisions.  Nothing longer than a few hundred bytes around a
+repeated name is shuffled.
 """
 
 from __future__ import annotations
