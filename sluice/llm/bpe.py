@@ -13,7 +13,7 @@ import unicodedata
 
 import numpy as np
 
-from .textbytes import powers, slices
+from .textbytes import hashes
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 MOST_WORDS = 1 << 20  # distinct words a worker remembers; then it starts anew
@@ -33,11 +33,6 @@ def classes() -> np.ndarray:
     return out
 
 
-@functools.cache
-def _code_table() -> np.ndarray:
-    return np.random.default_rng(7).integers(1, 1 << 63, 65536, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 @functools.cache
 def _alphabet() -> dict[int, str]:
     """The printable stand-ins of the byte-level alphabet: printable bytes stay, the others follow from 256 on."""
@@ -88,7 +83,7 @@ def split(codes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Ids of words by hash, for one tokenizer in one worker."""
+    """Ids of words by hash, for one tokenizer in one worker.  The characters of each word are compared with those its ids are of."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -102,24 +97,28 @@ class Words:
         self.known = np.zeros(0, np.uint64)  # sorted
         self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the words' characters in ``codes``
+        self.codes = np.zeros(0, np.uint16)
 
-    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+    def learn(self, new: np.ndarray, texts: list[str]) -> None:
         alphabet = _alphabet()
         found = [[t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(alphabet))] for w in texts]
         count = np.array([len(x) for x in found], np.int64)
         start = len(self.ids) + np.cumsum(count) - count
         self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
-        known = np.concatenate([self.known, hashes])
+        size = np.array([len(w) for w in texts], np.int64)
+        first = len(self.codes) + np.cumsum(size) - size
+        self.codes = np.concatenate([self.codes, np.frombuffer("".join(texts).encode("utf-16-le"), np.uint16)])
+        known = np.concatenate([self.known, new])
         order = np.argsort(known, kind="stable")
         self.known, self.start, self.count = known[order], np.concatenate([self.start, start])[order], np.concatenate([self.count, count])[order]
+        self.first, self.size = np.concatenate([self.first, first])[order], np.concatenate([self.size, size])[order]
 
-    def encode(self, text: str, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of plain rows (offsets in code points into ``text``) and how many ids each row has."""
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    def encode(self, text: str, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of plain rows (offsets in code points into ``text``) and how many ids each row has; None if two words share a hash."""
+        codes = np.frombuffer(text.encode("utf-16-le"), np.uint16)
         s, e = split(codes, rows)
-        power = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(_code_table()[codes] * powers(len(codes) + 1)[0][: len(codes)], out=power[1:])
-        h = slices(power, s, e)
+        h = hashes(codes.view(np.uint8), 2 * s, 2 * e)
         unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         at = np.searchsorted(self.known, unique)
         new = np.ones(len(unique), bool)
@@ -132,6 +131,13 @@ class Words:
             self.learn(unique[new], [text[a:b] for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)])
             at = np.searchsorted(self.known, unique)
         at = at[inverse]
+        n = e - s
+        if (self.size[at] != n).any():
+            return None
+        cut = np.cumsum(n) - n
+        there = np.arange(int(n.sum()))
+        if (self.codes[there + np.repeat(self.first[at] - cut, n)] != codes[there + np.repeat(s - cut, n)]).any():
+            return None
         count = self.count[at]
         total = np.concatenate([[0], np.cumsum(count)])
         ids = self.ids[np.repeat(self.start[at] - total[:-1], count) + np.arange(total[-1])]
@@ -155,7 +161,12 @@ class Words:
                 plain.append(i)
         if plain:
             rows = np.concatenate([[0], np.cumsum([len(texts[i]) for i in plain])])
-            ids, count = self.encode("".join(texts[i] for i in plain), rows)
+            found = self.encode("".join(texts[i] for i in plain), rows)
+            if found is None:  # two words share a hash: the library encodes these texts
+                for i in plain:
+                    out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+                return out  # type: ignore[return-value]
+            ids, count = found
             at = np.concatenate([[0], np.cumsum(count)])
             for k, i in enumerate(plain):
                 out[i] = ids[at[k] : at[k + 1]]

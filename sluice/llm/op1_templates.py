@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import mix, pieces, powers, prefix, runs, slices, utf8
+from .textbytes import hashes, mix, pieces, powers, runs, slices, utf8
 
 WINDOW, WORDS, SHARE = 5, 3, 0.8
 DRIFT = 20  # tokens by which an occurrence may be stretched or shortened between two windows
@@ -89,7 +89,7 @@ def _lowered(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _hashes(text: str) -> np.ndarray:
     data = [np.frombuffer(w.encode(), np.uint8) for w in dict.fromkeys(text.split())]
-    return np.sort(np.array([slices(prefix(d), np.array([0]), np.array([len(d)]))[0] for d in data], np.uint64))
+    return np.sort(np.array([hashes(d, np.array([0]), np.array([len(d)]))[0] for d in data], np.uint64))
 
 
 _NUMBER_WORDS, _UNITS = _hashes(NUMBER_WORDS), _hashes(UNITS)
@@ -114,7 +114,7 @@ class Templates:
     template: np.ndarray
     begin: np.ndarray  # of each token in the text without space, and its end
     end: np.ndarray
-    packed: np.ndarray  # prefix sums of that text
+    packed: np.ndarray  # that text
 
 
 def _is_in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -146,14 +146,13 @@ def templates(column) -> Templates:
         between = between[~edge[between] & ~edge[between + 1]]
         inside[between] = digit[between] = True
     s, e, row = runs(inside, offsets)
-    sums = prefix(low)
     other = np.append(np.flatnonzero(~digit), len(data))
     to = other[np.searchsorted(other, s)] if len(s) else s
     cut = np.flatnonzero((to > s) & (to < e))
-    cut = cut[_is_in(slices(sums, to[cut], e[cut]), _UNITS)] if len(cut) else cut
+    cut = cut[_is_in(hashes(low, to[cut], e[cut]), _UNITS)] if len(cut) else cut
     if len(cut):  # a unit attached to its number is a token of its own
         s, e, row = np.insert(s, cut + 1, to[cut]), np.insert(e, cut, to[cut]), np.insert(row, cut + 1, row[cut])
-    value = slices(sums, s, e)
+    value = hashes(low, s, e)
     start = np.append(True, row[1:] != row[:-1]) if len(row) else np.zeros(0, bool)
     stops, digits = np.append(0, np.cumsum(_STOP[data])), np.append(0, np.cumsum(digit))
     before = np.append(0, e[:-1]) if len(e) else e
@@ -168,7 +167,7 @@ def templates(column) -> Templates:
     slot = number | unit | name
     solid = ~_SPACE[data]
     places = np.append(0, np.cumsum(solid))
-    packed = places[s], places[e], prefix(low[solid])
+    packed = places[s], places[e], low[solid]
     n = len(s) - WINDOW + 1
     if n <= 0:
         none, no = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -196,7 +195,7 @@ class Table:
         self.hash, self.item, self.first = (np.concatenate([x[use], y[both]]) for x, y in ((window, named), (item, item), (first, first)))
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.item, self.first = self.hash[order], self.item[order], self.first[order]
-        self.value, self.slot, self.opening, self.ids = t.value, t.slot, t.opening, ids
+        self.value, self.slot, self.opening, self.ids, self.template = t.value, t.slot, t.opening, ids, t.template
         # Items without a window, by number of tokens and form (values, or templates if they have words): sorted hashes, and the items.
         self.whole: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
         self.begins, lengths = begins, np.bincount(t.row, minlength=len(ids)) if len(t.row) else np.zeros(len(ids), np.int64)
@@ -205,7 +204,7 @@ class Table:
         short = np.flatnonzero((self.total == 0) & (lengths > 0))
         sums = _forms(t)
         self.text = np.zeros(len(ids), np.uint64)
-        self.text[short] = slices(t.packed, t.begin[begins[short]], t.end[begins[short] + lengths[short] - 1])
+        self.text[short] = hashes(t.packed, t.begin[begins[short]], t.end[begins[short] + lengths[short] - 1])
         for n in np.unique(lengths[short]).tolist():
             for form in (False, True):
                 mine = short[(lengths[short] == n) & ~(form & self.verbatim[short])]
@@ -225,20 +224,22 @@ class Table:
         """Items without a window: equal templates, then equal texts or slots that agree exactly."""
         best: dict[tuple, tuple] = {}
         sums = _forms(t) if self.whole else None
-        for (n, form), (hashes, items) in self.whole.items():
+        for (n, form), (known, items) in self.whole.items():
             at = np.flatnonzero(t.row[: len(t.row) - n + 1] == t.row[n - 1 :]) if len(t.row) >= n else np.zeros(0, np.int64)
             if not len(at):
                 continue
             h = slices(sums[form], at, at + n)
-            near = _is_in(h, hashes)
+            near = _is_in(h, known)
             at, h = at[near], h[near]
-            text = slices(t.packed, t.begin[at], t.end[at + n - 1])
-            for a, x, lo, hi in zip(at.tolist(), text.tolist(), np.searchsorted(hashes, h, "left").tolist(), np.searchsorted(hashes, h, "right").tolist(), strict=True):
+            text = hashes(t.packed, t.begin[at], t.end[at + n - 1])
+            for a, x, lo, hi in zip(at.tolist(), text.tolist(), np.searchsorted(known, h, "left").tolist(), np.searchsorted(known, h, "right").tolist(), strict=True):
                 for item in items[lo:hi].tolist():
                     k = slice(self.begins[item], self.begins[item] + n)
                     slots = self.slot[k] | self.opening[k]
                     mine, yours = self.value[k][slots], t.value[a : a + n][slots]
-                    if int(self.text[item]) == x if self.verbatim[item] else self._consistent(mine, yours, 1.0):
+                    words = ~slots & ~t.opening[a : a + n]
+                    same = (self.template[k][words] == t.template[a : a + n][words]).all()
+                    if int(self.text[item]) == x if self.verbatim[item] else same and self._consistent(mine, yours, 1.0):
                         key, changed = (int(t.row[a]), item), len(np.unique(mine[mine != yours]))
                         if key not in best or changed < best[key][5]:
                             best[key] = (key[0], self.ids[item], 1, 1, len(np.unique(self.value[k][self.slot[k]])), changed)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import lists, mix, pieces, powers, slices
+from .textbytes import hashes, lists, mix, pieces, powers
 
 MARK, ODD = 0x2581, 0x10FFFF + 1  # the mark of a blank; stands for a mark in the text itself
 _BITS = 19
@@ -52,9 +52,13 @@ class _Known:
 
 
 class Lattice:
-    def __init__(self, model: str, alpha: float):
+    """The vocabulary by hash, and words met before.  ``salt`` changes all hashes, nothing else."""
+
+    def __init__(self, model: str, alpha: float, salt: int = 0):
         import sentencepiece
 
+        self.salt = salt
+
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         n = sp.get_piece_size()
         self.bytes_id = np.zeros(256, np.int32)
@@ -99,12 +103,13 @@ class Lattice:
 
     @staticmethod
     @functools.cache
-    def _table() -> np.ndarray:
-        return np.random.default_rng(11).integers(1, 1 << 63, 1 << 21, dtype=np.uint64)
+    def _table(salt: int) -> np.ndarray:
+        return np.random.default_rng(11 + salt).integers(1, 1 << 63, 1 << 21, dtype=np.uint64)
 
     def _prefix(self, codes: np.ndarray) -> np.ndarray:
+        """Prefix sums for hashes of slices as short as a piece."""
         p = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(self._table()[codes] * powers(len(codes) + 1)[0][: len(codes)], out=p[1:])
+        np.cumsum(self._table(self.salt)[codes] * powers(len(codes) + 1)[0][: len(codes)], out=p[1:])
         return p
 
     @staticmethod
@@ -155,19 +160,19 @@ class Lattice:
             prob[:, i, :reach] = c / c[:, -1:]
         return ids.reshape(-1, most), prob.reshape(-1, most)
 
-    def _lines(self, p: np.ndarray, s: np.ndarray, n: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _lines(self, p: np.ndarray, s: np.ndarray, n: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``_filter``, and at which line each word begins.  The first words a worker meets are kept for later batches."""
         if n[-1] > 32 or len(self.size) > 1 << 15:
             return *self._filter(p, s, n), np.cumsum(n) - n
         size = int(n[0])
         known = self.known.setdefault(size, _Known(size, min(self.longest, size)))
-        slot = known.find(hashes)
+        slot = known.find(names)
         new = np.flatnonzero(slot < 0)
         if len(new):
             ids, prob = self._filter_equal(p, s[new], size)
             if sum(len(x.ids) for x in self.known.values()) < MOST_KNOWN:
-                known.add(hashes[new], ids, prob)
-                slot = known.find(hashes)
+                known.add(names[new], ids, prob)
+                slot = known.find(names)
             else:
                 old = np.flatnonzero(slot >= 0)
                 lines = (slot[old][:, None] * size + np.arange(size)).ravel()
@@ -179,7 +184,7 @@ class Lattice:
     def _filter(self, p: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For the words at ``s`` of lengths ``n`` of the text with prefix hashes ``p``, laid one after another: ids of the piece of each length that ends at
         each position, and cumulated probabilities of these lengths."""
-        if n[0] == n[-1] and (n == n[0]).all():
+        if n[0] == n[-1] <= 32 and (n == n[0]).all():  # longer words always below, in double precision, whatever else is in their group
             return self._filter_equal(p, s, int(n[0]))
         base = np.cumsum(n) - n
         total, most = int(n.sum()), min(self.longest, int(n.max()))
@@ -229,13 +234,14 @@ class Lattice:
         s = np.flatnonzero(first)
         n = np.diff(np.append(s, len(codes)))
         p = self._prefix(codes)
-        hashes, one, inverse = np.unique(slices(p, s, s + n), return_index=True, return_inverse=True)
+        names = hashes((codes | self.salt << 21).astype(np.uint32).view(np.uint8), 4 * s, 4 * (s + n))
+        names, one, inverse = np.unique(names, return_index=True, return_inverse=True)
         found = np.full(len(codes) + 1, -2, np.int32)
         row_of = np.searchsorted(rows, s, "right") - 1
         seed = keys[np.array(full)][row_of]
         # Words are filtered in groups of one length (long ones together) and of bounded size.
         by_length = np.argsort(n[one], kind="stable")
-        hashes, one, rank = hashes[by_length], one[by_length], np.argsort(by_length)
+        names, one, rank = names[by_length], one[by_length], np.argsort(by_length)
         inverse = rank[inverse]
         base_all = np.cumsum(n[one]) - n[one]
         kind = np.minimum(n[one], 33) * len(codes) + base_all // (1 << 16)
@@ -247,7 +253,7 @@ class Lattice:
             words = np.flatnonzero(group == g)
             if not len(words):
                 continue
-            ids, prob, lines = self._lines(p, s[one[words]], n[one[words]], hashes[words])
+            ids, prob, lines = self._lines(p, s[one[words]], n[one[words]], names[words])
             occ = occurrences[cuts[g] : cuts[g + 1]]
             at = lines[inverse[occ] - words[0]]
             left = n[occ].copy()
@@ -290,8 +296,23 @@ class Lattice:
 
 
 @functools.lru_cache(2)
-def lattice(model: str, alpha: float) -> Lattice:
-    return Lattice(model, alpha)
+def lattice(model: str, alpha: float, salt: int = 0) -> Lattice:
+    return Lattice(model, alpha, salt)
+
+
+def segmented(model: str, alpha: float, texts: list[str], keys: np.ndarray) -> tuple[list[np.ndarray], list[bool]]:
+    """Sampled ids of each text, and whether they decode to it.  A text whose words or pieces share a hash with others is done again under other hashes."""
+    lat = lattice(model, alpha)
+    ids = lat.sample(texts, keys)
+    same = [a == b for a, b in zip(texts, lat.decode(ids), strict=True)]
+    for i in (k for k, ok in enumerate(same) if not ok):
+        for salt in range(1, 8):
+            other = lattice(model, alpha, salt)
+            ids[i] = other.sample([texts[i]], keys[i : i + 1])[0]
+            if other.decode([ids[i]])[0] == texts[i]:
+                same[i] = True
+                break
+    return ids, same
 
 
 def key_seeds(keys: pa.Array, seed: int) -> np.ndarray:
@@ -309,12 +330,10 @@ def encode(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 1) -> Da
     """
 
     def run(batches):
-        lat = lattice(model, alpha)
         for part in pieces(batches):
             texts = ["" if x is None else x for x in part.column("text").to_pylist()]
-            ids = lat.sample(texts, key_seeds(part.column("doc_id"), seed))
+            ids, same = segmented(model, alpha, texts, key_seeds(part.column("doc_id"), seed))
             count = np.array([len(x) for x in ids])
-            same = [a == b for a, b in zip(texts, lat.decode(ids), strict=True)]
             flat = lists(np.concatenate(ids) if len(ids) else np.zeros(0, np.int32), count, pa.int32())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count, pa.int64()), flat, pa.array(same)], ["doc_id", "n_tokens", "ids", "lossless"])
 

@@ -1,8 +1,10 @@
 """Vectorised work on whole texts as UTF-8 bytes.
 
-A batch of texts is one ``uint8`` array with row offsets.  A prefix sum of
-``table[byte] * BASE**i`` modulo 2**64 gives the hash of any slice in constant
-time, so words and windows are hashed without a Python object each.
+A batch of texts is one ``uint8`` array with row offsets.  ``hashes`` sums the mixed
+eight-byte pieces of each slice, so words and windows of any length are hashed without
+a Python object each, and no string is like another by construction.  ``prefix`` and
+``slices`` (a polynomial modulo 2**64, any slice in constant time) are for short slices
+of many overlapping windows only: strings of 1,024 bytes can agree by construction there.
 """
 
 from __future__ import annotations
@@ -48,6 +50,35 @@ def slices(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((p[end] - p[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
+_STEP, _SIZE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9FB21C651E98DF25)
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ``data[start:end]``: the sum of their mixed pieces of eight bytes, each mixed with its place."""
+    n = end - start
+    packed = np.zeros(len(data) // 8 + 2, np.uint64)
+    packed.view(np.uint8)[: len(data)] = data
+
+    def load(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        k, low = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        piece = packed[k] >> low
+        piece |= np.where(low > 0, packed[k + 1] << (np.uint64(64) - np.maximum(low, np.uint64(1))), np.uint64(0))
+        return piece & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(left, 8)) << 3).astype(np.uint64))
+
+    out = np.zeros(len(n), np.uint64)
+    full = np.flatnonzero(n > 0)
+    out[full] = mix(load(start[full], n[full]) ^ _STEP)
+    more = np.flatnonzero(n > 8)
+    if len(more):
+        count = (n[more] - 1) >> 3
+        edge = np.cumsum(count) - count
+        k = np.arange(1, int(count.sum()) + 1) - np.repeat(edge, count)
+        at = np.repeat(start[more], count) + 8 * k
+        rest = mix(load(at, np.repeat(end[more], count) - at) ^ mix((k + 1).astype(np.uint64) * _STEP))
+        out[more] += np.add.reduceat(rest, edge)
+    return mix(out + n.astype(np.uint64) * _SIZE)
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of an Arrow string column; null counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -89,7 +120,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
     """Runs without ``[\\x20\\x09-\\x0D]``, never across rows, A-Z lower-cased: (start, end, row, hash)."""
     data = _LOWER[data] if lower else data
     start, end, row = runs(~_SPACE[data], offsets)
-    return start, end, row, slices(prefix(data), start, end)
+    return start, end, row, hashes(data, start, end)
 
 
 def lists(values: np.ndarray, counts: np.ndarray, kind) -> pa.Array:

@@ -277,6 +277,52 @@ def test_pieces_are_drawn_in_proportion():
         assert abs(drawn.count(w) / n - x / total) < 0.015
 
 
+def _thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_agree_in_polynomial_hashes(spark, n):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2**64, whatever the base."""
+    from tokenizers import Tokenizer
+
+    texts = [_thue_morse(n), _thue_morse(n, "b", "a")]
+    d = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
+    path = _vocabulary("byte_bpe_50k.json")
+    scratch = Scratch(spark, "test")
+    root = scratch.path("shards")
+    manifest = scratch.keep(op6_tokens.write_ids(d, path, root, n_shards=1), "manifest")
+    tokenizer = Tokenizer.from_file(path)
+    want = [zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for t in texts]
+    assert [r.ids_crc32 for r in op6_tokens.read_digests(spark, manifest, root).orderBy("start").collect()] == want
+    assert all(r.lossless for r in op7_pieces.encode(d, _vocabulary("piece_bpe_32k.model")).collect())
+    assert op8_minhash.near_duplicates(d, 2).where("kept").count() == 2
+    seen = {}
+    for t in texts:
+        for p in range(n - 199):
+            seen[t[p : p + 200]] = seen.get(t[p : p + 200], 0) + 1
+    gone = [len({q for p in range(n - 199) if seen[t[p : p + 200]] > 1 for q in range(p, p + 200)}) for t in texts]
+    assert [r.n_removed for r in op3_suffixes.remove_repeats(d).orderBy("doc_id").collect()] == gone
+
+
+def test_words_with_one_hash_are_told_apart(monkeypatch):
+    """With a hash that tells nothing but lengths the ids are still the library's, and texts decode to themselves."""
+    from tokenizers import Tokenizer
+
+    from sluice.llm import bpe
+
+    weak = lambda data, s, e: (e - s).astype(np.uint64)
+    monkeypatch.setattr(bpe, "hashes", weak)
+    path, texts = _vocabulary("byte_bpe_50k.json"), ["one two six", "red and blue", ""]
+    assert [x.tolist() for x in bpe.Words(path).batch(texts)] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    real, calls = op7_pieces.hashes, []
+    monkeypatch.setattr(op7_pieces, "hashes", lambda data, s, e: calls.append(1) or (weak if len(calls) == 1 else real)(data, s, e))
+    op7_pieces.lattice.cache_clear()
+    ids, same = op7_pieces.segmented(_vocabulary("piece_bpe_32k.model"), 1.0, texts, np.arange(3, dtype=np.uint64))
+    op7_pieces.lattice.cache_clear()
+    assert all(same) and len(calls) > 1 and op7_pieces.lattice(_vocabulary("piece_bpe_32k.model"), 1.0).decode(ids) == texts
+
+
 def test_templates(spark, empty):
     q = "Alice bought 12 apples from the market near Paris. How many apples did Alice keep after giving 5 apples to Bob and losing 2 kg of them?"
     other = "Intro here. " + q.replace("Alice", "Carol").replace("12", "30").replace("Paris", "Rome").replace("5 ", "8 ").replace("Bob", "Dan") + " End."
