@@ -2,19 +2,24 @@
 
 A difference cover modulo v holds, for any two positions i and j, a shift below v that
 brings both into the sampled residues.  So two texts that share a string of ``length``
-bytes share a sampled position whose next ``length - v + 1`` bytes agree, and the bytes
-around it decide the rest.  Only the sampling is that of the classical algorithm; its
-sort, recursion and merge are replaced by grouping hashes:
-
-* windows of ``length - v + 1`` bytes at sampled positions get a 64-bit polynomial hash as
-  their name (32 bits within a part; 9 % of all positions are sampled);
-* only names that occur twice go on, grouped by hash, not by an order of suffixes;
-* the bytes around these are compared at all shifts by hashes over the full ``length``,
-  and the bytes that equal strings cover are removed.
-
-No order is needed because strings longer than ``length`` need not be told apart; the
-result is exact but for hash collisions.  Nothing longer than a few hundred bytes around a
-repeated name is shuffled.
+bytes share a sampled position whose next ``length - v + 1`` bytes, its name, agree, and
+the bytes around it decide the rest.
+
+* Sampled positions (9 % of all) whose name stands nowhere else are left out first; this
+  filter works on 64-bit hashes and can only keep too many.
+* The sampled suffixes that remain are sorted, with the bytes before them, and named by
+  rank: neighbours are compared by their common prefix.  A string that starts d bytes
+  before a sampled position is known by the rank of the d bytes before it and the rank of
+  the ``length - d`` bytes after it, so the other suffixes are merged in without sorting them.
+* Names that too many positions share are named anew, by recursion: strings that start in
+  the first half of the shifts by the bytes that all of these contain, about twice as
+  many, and those of the second half likewise, down to one shift if need be.  So no name
+  gathers more than ``HOT`` positions in one task, however frequent a line is.
+* Bytes that equal strings cover are removed.
+
+Suffixes are told apart up to ``length`` bytes only, as longer ones need not be.  Hashes
+deal rows over tasks and make the filter; the result is decided by bytes.  Nothing longer
+than a few hundred bytes around a repeated name is shuffled, besides the texts themselves.
 """
 
 from __future__ import annotations
@@ -28,11 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, partitions
-from .textbytes import BASE, TABLE, mix, pieces, powers, prefix, slices, utf8
+from .shared import Scratch, few, partitions
+from .textbytes import hashes, mix, pieces, prefix, slices, utf8
 
 LENGTH = 200
 SAMPLES_A_TASK = 2_000_000
+HOT = 4000  # positions of one name that meet in one task
+SEEN = 1 << 16  # texts that a task remembers, so that copies are not sent twice
 # A perfect difference set modulo 133: each non-zero difference occurs exactly once.
 PERFECT = (133, (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121))
 
@@ -61,7 +68,9 @@ def _key(data: np.ndarray) -> bytes:
 
 
 def _distinct(part: pa.RecordBatch, seen: set, length: int):
-    """Bytes and offsets of the texts of a piece that are long enough and new to this task, and their keys."""
+    """Bytes and offsets of the texts of a piece that are long enough and not among the last that this task saw, and their keys."""
+    if len(seen) > SEEN:
+        seen.clear()
     data, offsets = utf8(part.column("text"))
     keep, keys = [], []
     for i in range(len(offsets) - 1):
@@ -111,7 +120,7 @@ def _names(docs: DataFrame, length: int, parts: int) -> DataFrame:
             h = slices(prefix(data), at, at + window)
             of = np.searchsorted(offsets, at, "right") - 1
             seeds = np.array([int.from_bytes(k[4:12], "little") for k in keys], np.uint64)
-            mark = mix(seeds[of] + (at - offsets[of]).astype(np.uint64)).astype(np.uint32)
+            mark = mix(seeds[of] + (at - offsets[of]).astype(np.uint64))
             order = np.argsort(h, kind="stable")
             h, at, mark = h[order], at[order].astype(np.uint32), mark[order]
             new = np.append(True, h[1:] != h[:-1])
@@ -145,12 +154,13 @@ def _repeated(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rest.column("piece"), rest.column("kind"), rest.column("data")], ["piece", "kind", "data"])
             for i in np.flatnonzero(kind == 0).tolist():
                 pieces_.append(b.column("piece")[i].as_py())
-                packed.append(np.frombuffer(b.column("data")[i].as_buffer(), np.uint32).reshape(3, -1).copy())
-                packed[-1][2] = np.cumsum(packed[-1][2], dtype=np.uint32)
+                packed.append(b.column("data")[i].as_py())
         if not packed:
             return
-        size = np.array([x.shape[1] for x in packed])
-        name, mark, offset = np.concatenate(packed, 1)
+        size = np.array([len(x) // 16 for x in packed])
+        name = np.concatenate([np.frombuffer(x, np.uint32, n) for x, n in zip(packed, size.tolist(), strict=True)])
+        mark = np.concatenate([np.frombuffer(x[4 * n : 12 * n], np.uint64) for x, n in zip(packed, size.tolist(), strict=True)])
+        offset = np.concatenate([np.cumsum(np.frombuffer(x, np.uint32, n, 12 * n), dtype=np.uint32) for x, n in zip(packed, size.tolist(), strict=True)])
         of = np.repeat(np.arange(len(packed)), size)
         del packed
         order = np.argsort(name, kind="stable")
@@ -168,13 +178,17 @@ def _repeated(rows: DataFrame) -> DataFrame:
 
 
 def _by_text(repeated: DataFrame) -> DataFrame:
-    """key and packed positions of repeated names in each text."""
+    """key and packed positions of repeated names in each text.
+
+    Copies of a text give rows of their own wherever they stand; these are merged in two
+    steps, so that the rows of a text with very many copies do not meet in one task.
+    """
     tables = repeated.where("kind = 2").select("piece", F.col("data").alias("texts"))
     both = repeated.where("kind = 1").select("piece", "data").join(tables, "piece")
 
     def run(batches):
         for b in batches:
-            keys, data = [], []
+            keys, data, salts = [], [], []
             for i in range(b.num_rows):
                 texts = b.column("texts")[i].as_py()
                 n = (len(texts) - 8) // 24
@@ -186,9 +200,16 @@ def _by_text(repeated: DataFrame) -> DataFrame:
                     k = int(of[a])
                     keys.append(texts[8 * (n + 1) + 16 * k :][:16])
                     data.append((at[a:z] - offsets[k]).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["key", "at"])
+                    salts.append(b.column("piece")[i].as_py() % 64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(salts, pa.int64()), pa.array(data, pa.binary())], ["key", "salt", "at"])
+
+    def merge(batches):
+        for b in batches:
+            data = [np.unique(np.frombuffer(b"".join(x), np.uint32)).tobytes() for x in b.column("ats").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(data, pa.binary())], ["key", "at"])
 
-    return both.mapInArrow(run, "key binary, at binary")
+    parts = both.mapInArrow(run, "key binary, salt long, at binary").groupBy("key", "salt").agg(F.collect_set("at").alias("ats")).drop("salt")
+    return parts.mapInArrow(merge, "key binary, at binary").groupBy("key").agg(F.collect_list("at").alias("ats"))
 
 
 def _packed_texts(docs: DataFrame, length: int) -> DataFrame:
@@ -206,7 +227,7 @@ def _packed_texts(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _contexts(texts: DataFrame, length: int) -> DataFrame:
-    """name, key, position, bytes before it and whether the same bytes were met again in the batch (kind 2).
+    """name, key, position, bytes before it, data, whether the same bytes were met again in the batch (kind 2), and all shifts from lo to hi.
 
     ``data`` holds up to v - 1 bytes before the position and ``length`` after it.  All strings
     of bytes that were met before repeat, so these are sent as covered spans at once (kind 3).
@@ -240,13 +261,18 @@ def _contexts(texts: DataFrame, length: int) -> DataFrame:
                             once[c] = len(rows)
                             rows.append([name, key, i, i - s, c, 1])
                     if known:
-                        spans = _spans([key] * len(known), *_shifts(np.array(known), length))
-                        rows.append([int(names[0]), key, 0, 0, b"".join(spans.column("spans").to_pylist()), 3])
+                        spans = _spans([key], np.zeros(len(known), np.int64), *_shifts(np.array(known), length)[1:])
+                        rows.append([int(names[0]), key, 0, 0, spans.column("spans")[0].as_py() if spans.num_rows else b"", 3])
                 if rows:
-                    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["name", "key", "at", "back", "data", "kind"])
+                    columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), _KINDS, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([0] * len(rows), pa.int32()), pa.array([left] * len(rows), pa.int32())], _FIELDS)
 
-    return texts.mapInArrow(run, "name long, key binary, at int, back int, data binary, kind int")
+    return texts.mapInArrow(run, _SCHEMA)
+
+
+_KINDS = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
+_FIELDS = ["name", "key", "at", "back", "data", "kind", "lo", "hi"]
+_SCHEMA = "name long, key binary, at int, back int, data binary, kind int, lo int, hi int"
 
 
 def _shifts(known: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,53 +283,151 @@ def _shifts(known: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
     return row, at[row] - hi[row], at[row] - lo[row] + length
 
 
+def _named_anew(hot: DataFrame, length: int) -> DataFrame:
+    """Positions of frequent names, once for each half of their shifts, named by the bytes that all strings of that half contain."""
+
+    def run(batches):
+        for b in batches:
+            column = b.column("data").cast(pa.large_binary())
+            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            data, offsets = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+            back, lo, hi = (np.asarray(b.column(c)).astype(np.int64) for c in ("back", "lo", "hi"))
+            size, middle = np.diff(offsets), (lo + hi) // 2
+            for first, last in ((lo, middle), (middle + 1, hi)):
+                begin, end = back - first, back + length - last
+                ok = np.flatnonzero((first <= last) & (begin >= 0) & (end <= size))
+                if len(ok):
+                    names = mix(hashes(data, offsets[ok] + begin[ok], offsets[ok] + end[ok]) + (first[ok] * 1024 + last[ok]).astype(np.uint64))
+                    rows = b.take(pa.array(ok))
+                    columns = [pa.array(names.view(np.int64)), *(rows.column(c) for c in _FIELDS[1:6]), pa.array(first[ok], pa.int32()), pa.array(last[ok], pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, _FIELDS)
+
+    return hot.mapInArrow(run, _SCHEMA)
+
+
+def _whole_spans(rows: DataFrame, length: int) -> DataFrame:
+    """key and packed spans of all strings at the shifts lo to hi of each row."""
+
+    def run(batches):
+        for b in batches:
+            key, at, back, size, lo, hi = (np.asarray(b.column(c)) if c != "key" else b.column(c).to_pylist() for c in ("key", "at", "back", "size", "lo", "hi"))
+            lo, hi = np.maximum(lo, length - (size - back)), np.minimum(hi, back)
+            row = np.flatnonzero(hi >= lo)
+            yield _spans(key, row, at[row] - hi[row], at[row] - lo[row] + length)
+
+    return rows.select("key", "at", "back", F.octet_length("data").alias("size"), "lo", "hi").mapInArrow(run, "key binary, spans binary")
+
+
+def _dealt(contexts: DataFrame, length: int, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Rows whose names at most ``HOT`` positions share, and spans that are known to be covered already.
+
+    In each round the rows of a more frequent name are named anew for each half of their
+    shifts.  Positions with equal bytes all around are one row from then on.  Strings of a
+    single shift are counted, not compared.
+    """
+    cold, known = [], [contexts.where("kind = 3").select("key", F.col("data").alias("spans"))]
+    contexts = contexts.where("kind < 3")
+    for depth in range(32):
+        counts = contexts.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("name")
+        hot, n = few(scratch.keep(counts, "hot"))
+        if not n:
+            return [*cold, contexts], known
+        cold.append(contexts.join(hot, "name", "left_anti"))
+        rows = contexts.join(hot, "name", "left_semi")
+        if not depth:
+            same = scratch.keep(rows.groupBy("data", "back").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("name", "key", "at", "kind", "lo", "hi")).alias("r"), F.max("kind").alias("kind")), "equal")
+            several, _ = few(scratch.keep(same.where("n > 1").select("data", "back"), "several"))
+            known.append(_whole_spans(rows.join(several, ["data", "back"], "left_semi"), length))
+            rows = same.select("r.name", "r.key", "r.at", "back", "data", F.when(F.col("n") > 1, 2).otherwise(F.col("kind")).cast("int").alias("kind"), "r.lo", "r.hi")
+        halves = scratch.keep(_named_anew(rows, length), "halves")
+        one = halves.where("lo = hi").withColumn("s", F.expr(f"substring(data, back - lo + 1, {length})"))
+        often = one.groupBy("s", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("k")).where("n > 1 or k = 2").select("s", "lo")
+        often, _ = few(scratch.keep(often, "often"))
+        known.append(_whole_spans(one.join(often, ["s", "lo"], "left_semi"), length))
+        contexts = halves.where("lo < hi")
+    raise RuntimeError("names do not settle")
+
+
+def _ranked(strings: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows of ``strings`` within each place, and the common prefix of each with the one before; -1 at a new place."""
+    n, width = strings.shape
+    keyed = np.empty((n, width + 4), np.uint8)
+    keyed[:, :4] = place.astype(">u4").view(np.uint8).reshape(n, 4)
+    keyed[:, 4:] = strings
+    order = np.argsort(keyed.view(f"S{width + 4}").ravel(), kind="stable")
+    keyed = keyed[order]
+    differs = keyed[1:] != keyed[:-1]
+    common = np.full(n, -1)
+    first = differs.argmax(1) if n > 1 else np.zeros(0, np.int64)
+    common[1:] = np.where(differs[np.arange(n - 1), first], first - 4, width)
+    return order, np.where(common < 0, -1, common)
+
+
+def _neighbour(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The longest common prefix of each row with any other of its place."""
+    most = np.empty(len(order), np.int64)
+    most[order] = np.maximum(common, np.append(common[1:], -1))
+    return most
+
+
+def _repeats(place: np.ndarray, m: np.ndarray, left: int, length: int, low: np.ndarray, high: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """At which shifts (a matrix of rows and 0 to ``left``) the string of ``length`` bytes stands in another row of the place too.
+
+    ``m`` has ``left`` bytes before and ``length`` after the sampled position in each row;
+    shifts from ``low`` to ``high`` lie within the bytes of the row.  A row of weight 2 repeats at all of these.
+    """
+    n, shifts = len(m), np.arange(left + 1)
+    after, common_after = _ranked(np.ascontiguousarray(m[:, left:]), place)
+    before, common_before = _ranked(np.ascontiguousarray(m[:, :left][:, ::-1]), place) if left else (after, np.where(common_after < 0, -1, 0))
+    lo, hi = np.maximum(low, length - _neighbour(after, common_after)), np.minimum(high, _neighbour(before, common_before))
+    size = np.bincount(place)[place]
+    good = (shifts >= low[:, None]) & (shifts <= high[:, None]) & (weight > 1)[:, None]
+    asked = (shifts >= lo[:, None]) & (shifts <= hi[:, None]) & (size > 1)[:, None]
+    pair = size == 2  # both have the other as their only neighbour
+    good |= asked & pair[:, None]
+    row, shift = np.nonzero(asked & ~pair[:, None])
+    if len(row):
+        # The rank of a string of d bytes: how many rows before it in the order differ in those from the one before.
+        rank_after, rank_before = np.empty((n, left + 1), np.int32), np.empty((n, left + 1), np.int32)
+        rank_after[after] = np.cumsum(common_after[:, None] < length - shifts, axis=0)
+        rank_before[before] = np.cumsum(common_before[:, None] < shifts, axis=0)
+        key = (rank_after[row, shift].astype(np.int64) * (n + 1) + rank_before[row, shift]) * (left + 1) + shift
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        often = np.add.reduceat(weight[row[order]], begin) > 1
+        hit = order[np.repeat(often, np.diff(np.append(begin, len(key))))]
+        good[row[hit], shift[hit]] = True
+    return good
+
+
 def _covered(contexts: DataFrame, length: int) -> DataFrame:
     """key and packed (start, end) covered by strings that occur again, from contexts sorted by name."""
     v, _ = cover(length)
     left = v - 1
-    shifts = np.arange(v)
-
-    def spans(at: np.ndarray, good: np.ndarray):
-        """Covered bytes from the shifts at which a context's string repeats."""
-        edge = np.zeros((len(good), 1), bool)
-        change = np.diff(np.concatenate([edge, good, edge], 1).astype(np.int8), axis=1)
-        row, lo = np.nonzero(change == 1)
-        _, hi = np.nonzero(change == -1)
-        return row, at[row] - (hi - 1), at[row] - lo + length
 
-    def group(name, key, at, back, data, kind):
-        n = len(at)
+    def group(rows: pa.Table, names: np.ndarray):
+        at, back, kind, lo, hi = (rows.column(c).to_numpy().astype(np.int64) for c in ("at", "back", "kind", "lo", "hi"))
+        data = rows.column("data").to_pylist()
         size = np.array([len(d) for d in data])
         flat = np.frombuffer(b"".join(data), np.uint8)
-        row = np.repeat(np.arange(n), size)
+        row = np.repeat(np.arange(len(at)), size)
         column = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(left - back, size)
-        power, inverse = powers(left + length + 1)
-        p = np.zeros((n, left + length + 1), np.uint64)
-        p[row, column + 1] = TABLE[flat] * power[column]
-        np.cumsum(p, 1, out=p)
-        begin = left - shifts
-        h = (p[:, begin + length] - p[:, begin]) * inverse[begin]
-        ok = (shifts <= back[:, None]) & (length - shifts <= (size - back)[:, None])
-        place = np.cumsum(np.append(True, name[1:] != name[:-1])).astype(np.uint64)
-        h = mix(h + place[:, None] * np.uint64(int(BASE)) + shifts.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        r, s = np.nonzero(ok)
-        values, inverse_of, count = np.unique(h[r, s], return_inverse=True, return_counts=True)
-        good = np.zeros((n, v), bool)
-        again = np.zeros(len(values), bool)
-        again[inverse_of[kind[r] == 2]] = True
-        hit = (count[inverse_of] > 1) | again[inverse_of]
-        good[r[hit], s[hit]] = True
-        return spans(at, good)
+        m = np.zeros((len(at), left + length), np.uint8)
+        m[row, column] = flat
+        place = np.cumsum(np.append(False, names[1:] != names[:-1]))
+        good = _repeats(place, m, left, length, np.maximum(lo, length - (size - back)), np.minimum(hi, back), np.minimum(kind, 2))
+        edge = np.zeros((len(good), 1), bool)
+        change = np.diff(np.concatenate([edge, good, edge], 1).astype(np.int8), axis=1)
+        row, first = np.nonzero(change == 1)
+        _, last = np.nonzero(change == -1)
+        return _spans(rows.column("key").to_pylist(), row, at[row] - (last - 1), at[row] - first + length)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
         waiting = 0
         for b in [*_rest(batches), None]:
             if b is not None:
-                done = b.filter(pa.array(np.asarray(b.column("kind")) == 3))
-                if done.num_rows:
-                    yield pa.RecordBatch.from_arrays([done.column("key"), done.column("data")], ["key", "spans"])
-                b = b.filter(pa.array(np.asarray(b.column("kind")) != 3))
                 held.append(b)
                 waiting += b.num_rows
             if b is not None and waiting < 6000:
@@ -316,9 +440,7 @@ def _covered(contexts: DataFrame, length: int) -> DataFrame:
             held = [] if cut == len(names) else rows.slice(cut).to_batches()
             waiting = len(names) - cut
             if cut:
-                now = rows.slice(0, cut)
-                key = now.column("key").to_pylist()
-                yield _spans(key, *group(names[:cut], key, now.column("at").to_numpy().astype(np.int64), now.column("back").to_numpy().astype(np.int64), now.column("data").to_pylist(), now.column("kind").to_numpy()))
+                yield group(rows.slice(0, cut), names[:cut])
 
     return contexts.mapInArrow(run, "key binary, spans binary")
 
@@ -330,9 +452,20 @@ def _rest(batches):
 
 
 def _spans(key: list[bytes], row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    both = np.stack([start, end], 1).astype(np.uint32)
-    cut = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(row)) if len(row) else np.zeros(1, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array([key[row[a]] for a in cut[:-1]], pa.binary()), pa.array([both[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["key", "spans"])
+    """Spans by key, those that meet as one: key and packed (start, end)."""
+    number = {k: i for i, k in enumerate(dict.fromkeys(key))}
+    of = np.array([number[k] for k in key], np.int64)[row] if len(row) else np.zeros(0, np.int64)
+    order = np.lexsort((start, of))
+    of, start, end = of[order], start[order].astype(np.int64), end[order].astype(np.int64)
+    apart = of << 33
+    reach = np.maximum.accumulate(apart + end) if len(of) else apart
+    new = np.append(True, (apart + start)[1:] > reach[:-1]) if len(of) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    both = np.stack([start[begin], (reach - apart)[np.append(begin[1:], len(of)) - 1]], 1).astype(np.uint32) if len(of) else np.zeros((0, 2), np.uint32)
+    of = of[begin]
+    cut = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of)) if len(of) else np.zeros(1, np.int64)
+    names = list(number)
+    return pa.RecordBatch.from_arrays([pa.array([names[of[a]] for a in cut[:-1]], pa.binary()), pa.array([both[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["key", "spans"])
 
 
 def _cut(texts: DataFrame) -> DataFrame:
@@ -386,10 +519,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = _names(docs, length, 4 * tasks).repartition(tasks, "part")
     repeated = scratch.keep(_repeated(rows), "names")
     # Texts that hold repeated names; the compressed text is shuffled once.
-    at = _by_text(repeated).groupBy("key").agg(F.collect_list("at").alias("ats"))
-    texts = scratch.keep(_packed_texts(docs, length).join(at, "key").dropDuplicates(["key"]), "texts")
-    contexts = _contexts(texts, length).repartition(tasks, "name").sortWithinPartitions("name")
-    covered = scratch.keep(_covered(contexts, length), "covered")
+    texts = scratch.keep(_packed_texts(docs, length).join(_by_text(repeated), "key").dropDuplicates(["key"]), "texts")
+    cold, known = _dealt(scratch.keep(_contexts(texts, length), "contexts"), length, scratch)
+    dealt = functools.reduce(DataFrame.unionByName, cold).repartition(tasks, "name").sortWithinPartitions("name")
+    covered = scratch.keep(functools.reduce(DataFrame.unionByName, [_covered(dealt, length), *known]), "covered")
     spans = covered.groupBy("key").agg(F.collect_list("spans").alias("spans"))
     cut = _cut(texts.select("key", "z").join(spans, "key")).distinct()
     copies = every.where(F.col("n_bytes") >= length).groupBy("key").agg(F.count(F.lit(1)).alias("copies"))

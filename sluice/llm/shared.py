@@ -50,6 +50,15 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+FEW = 20_000  # rows of a table that may be sent to all executors; more are joined by shuffle
+
+
+def few(table: DataFrame) -> tuple[DataFrame, int]:
+    """A stored table with its number of rows; if these are at most ``FEW`` it is broadcast in joins."""
+    n = table.count()
+    return (F.broadcast(table) if n <= FEW else table), n
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -93,26 +93,65 @@ def test_minhash_buckets_without_links(spark):
     assert op8_minhash.near_duplicates(d, 2).where("kept").count() == 300
 
 
-@pytest.mark.parametrize("length", [40, 200])
-def test_suffixes(docs, empty, length):
-    rows = [(d, (t or "").encode()) for d, t in _rows(docs)]
+def _without_repeats(rows, length):
     seen: dict[bytes, int] = {}
     for _, b in rows:
         for p in range(len(b) - length + 1):
             seen[b[p : p + length]] = seen.get(b[p : p + length], 0) + 1
-    want = []
+    out = []
     for d, b in rows:
         gone = bytearray(len(b))
         for p in range(len(b) - length + 1):
             if seen[b[p : p + length]] > 1:
                 gone[p : p + length] = b"\1" * length
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
-        want.append((d, len(b), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
-    got = [tuple(r) for r in op3_suffixes.remove_repeats(docs, length).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
+        out.append((d, len(b), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("length", "hot"), [(40, 4000), (200, 4000), (200, 3)])
+def test_suffixes(docs, empty, length, hot, monkeypatch):
+    monkeypatch.setattr(op3_suffixes, "HOT", hot)
+    rows = [(d, (t or "").encode()) for d, t in _rows(docs)]
+    assert sorted((tuple(r) for r in op3_suffixes.remove_repeats(docs, length).collect()), key=str) == _without_repeats(rows, length)
     assert op3_suffixes.remove_repeats(empty, length).count() == 0
 
 
+def test_suffixes_of_a_frequent_line(spark, monkeypatch):
+    """A line of 150 bytes among 400 surroundings, of which some repeat: its names are more frequent than a task takes."""
+    monkeypatch.setattr(op3_suffixes, "HOT", 50)
+    r = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    some = ["".join(r.choice(letters) for _ in range(300)) for _ in range(30)]
+    line = "".join(r.choice(letters) for _ in range(150))
+    side = lambda: r.choice(some)[: r.randrange(60)] if r.random() < 0.3 else "".join(r.choice(letters) for _ in range(r.randrange(300)))
+    texts = [(side()[::-1] if r.random() < 0.5 else side()) + line + side() for _ in range(400)]
+    texts += ["".join(r.choice(letters) for _ in range(20)) + line + line + side() for _ in range(60)]
+    got = op3_suffixes.remove_repeats(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)).collect()
+    assert sorted((tuple(x) for x in got), key=str) == _without_repeats([(i, t.encode()) for i, t in enumerate(texts)], 200)
+
+
+def test_repeats_equal_all_pairs():
+    r = random.Random(1)
+    for _ in range(150):
+        left, length = r.choice([(5, 9), (0, 4), (12, 20)])
+        n, base = r.randint(1, 40), [bytes(r.choice(b"ab") for _ in range(left + length)) for _ in range(3)]
+        rows = []
+        for _ in range(n):
+            x, back, after = bytearray(r.choice(base)), r.randint(0, left), r.randint(1, length)
+            for _ in range(r.randint(0, 3)):
+                x[r.randrange(len(x))] = r.choice(b"ab\0")
+            x[: left - back], x[left + after :] = bytes(left - back), bytes(length - after)
+            rows.append((r.randint(0, 2), list(x), max(0, length - after), back, r.choice([1, 1, 1, 2])))
+        rows.sort(key=lambda x: x[0])
+        place, m, low, high, weight = (np.array(x) for x in zip(*rows, strict=True))
+        got = op3_suffixes._repeats(np.unique(place, return_inverse=True)[1], m.astype(np.uint8), left, length, low, high, weight)
+        for i in range(n):
+            for d in range(left + 1):
+                same = (j for j in range(n) if j != i and place[j] == place[i] and low[j] <= d <= high[j] and rows[j][1][left - d :][:length] == rows[i][1][left - d :][:length])
+                assert got[i, d] == (low[i] <= d <= high[i] and (weight[i] == 2 or next(same, None) is not None))
+
+
 def test_difference_cover():
     for length in (3, 20, 200, 500):
         v, d = op3_suffixes.cover(length)
