@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Every step is a distributed aggregation and a join; no link or label reaches the
-driver.  A hub with very many links is aggregated before the shuffle, and the joins
-are plain equi-joins that adaptive execution can split.
+driver.  A hub with very many links is aggregated before the shuffle, and its links are
+dealt over tasks in the joins.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, join_split
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,16 +18,16 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(r)
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return join_split(both.where("v > u"), least, "u", "v", n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    moved = join_split(down, least, "u", "v", n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -40,7 +40,7 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     now = scratch.keep(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     state = _state(now)
     for _ in range(most):
-        after = scratch.keep(_small(_large(now)), "stars")
+        after = scratch.keep(_small(_large(now, state[0]), state[0]), "stars")
         scratch.drop(now)
         now, before, state = after, state, _state(after)
         if state == before:

@@ -13,7 +13,8 @@ has no common band with a probability under one in a million.
 Groups of copies cost no pairs: equal sets become one representative first; then each
 representative is held against the least member of its bands; then only buckets that
 still hold several components are searched, and only between components: block by block,
-with sketches first, so that a large bucket of dissimilar documents emits no pairs.
+first by sketches alone, then by full sets for those documents that a sketch left over, so
+that a large bucket of dissimilar documents emits no pairs and moves no sets.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch, blocks, partitions
+from .shared import Scratch, blocks, join_split, partitions
 from .textbytes import lists, mix, pieces, utf8, words
 
 BANDS, ROWS = 60, 7
@@ -119,30 +120,67 @@ def _sets(docs: DataFrame, width: int, bins: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, set array<long>, short binary")
 
 
-def _between(rows: DataFrame, percent: int, bins: int, tasks: int) -> DataFrame:
-    """Links (a, b) between different components within one bucket, enough of them to join the same documents.
+def _dealt(rows: DataFrame, more: list[str], tasks: int) -> DataFrame:
+    """Rows of buckets (band, size, id and ``more``) for ``blocks``: a large bucket is split into parts that meet pairwise in tasks of their own."""
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", *more)
+    return dealt.repartition(tasks, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+
 
-    ``rows``: band, size, id, n, c (component), major (that of the bucket's least member),
-    short and set.  A large bucket is split into parts that meet pairwise in tasks of their
-    own.  A pair is left out if its sketches agree on so few coordinates that a pair of this
-    similarity does so with a probability under one in ten million, or if links found before
-    join it; all others are confirmed on full sets here, so no candidate pair is emitted.
+def _likely(rows: pa.Table, cross: bool, percent: int, bins: int):
+    """Index arrays of the pairs of a block between different components that may have this similarity.
+
+    A pair is left out if its sketches agree on so few coordinates that a pair of this
+    similarity does so with a probability under one in ten million.
     """
     share = percent / 100
     least = int(bins * share - 5.2 * np.sqrt(bins * share * (1 - share)))
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "n", "c", "major", "short", "set")
-    dealt = dealt.repartition(tasks, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    ids, n, c, major, part = (rows.column(k).to_numpy() for k in ("id", "n", "c", "major", "part"))
+    if (c == c[0]).all():
+        return
+    short = np.frombuffer(b"".join(rows.column("short").to_pylist()), np.uint8).reshape(len(ids), bins)
+    minor = np.flatnonzero(c != major)
+    for at in range(0, len(minor), 16):
+        m = minor[at : at + 16]
+        ok = (c[m][:, None] != c[None, :]) & ((c == major)[None, :] | (ids[m][:, None] < ids[None, :]))
+        ok &= (n[m][:, None] * 100 >= n[None, :] * percent) & (n[None, :] * 100 >= n[m][:, None] * percent)
+        if cross:
+            ok &= part[m][:, None] != part[None, :]
+        x, y = np.nonzero(ok)
+        for k in range(0, len(x), 20_000):
+            u, w = m[x[k : k + 20_000]], y[k : k + 20_000]
+            good = (short[u] == short[w]).sum(1) >= least
+            yield u[good], w[good]
+
+
+def _candidates(rows: DataFrame, percent: int, bins: int, tasks: int) -> DataFrame:
+    """(band, id) of the rows (band, size, id, n, c: component, major: that of the bucket's least member, short) that sketches cannot tell from one of another component."""
+
+    def run(batches):
+        for (band, i, j), held in blocks(batches, ("band", "i", "j")):
+            rows = pa.Table.from_batches(held)
+            some = np.zeros(rows.num_rows, bool)
+            for u, w in _likely(rows, i != j, percent, bins):
+                some[u] = some[w] = True
+            ids = rows.column("id").to_numpy()[some]
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), band)), pa.array(ids)], ["band", "id"])
+
+    return _dealt(rows, ["n", "c", "major", "short"], tasks).mapInArrow(run, "band long, id long").distinct()
+
+
+def _between(rows: DataFrame, percent: int, bins: int, tasks: int) -> DataFrame:
+    """Links (a, b) between different components within one bucket, enough of them to join the same documents.
+
+    ``rows``: those of ``_candidates`` and set.  Pairs that links found before join are left
+    out; all other likely ones are confirmed on full sets here, so no candidate pair is emitted.
+    """
 
     def run(batches):
         for (_, i, j), held in blocks(batches, ("band", "i", "j")):
             rows = pa.Table.from_batches(held)
-            ids, n, c, major, part = (rows.column(k).to_numpy() for k in ("id", "n", "c", "major", "part"))
-            if (c == c[0]).all():
-                continue
-            short = np.frombuffer(b"".join(rows.column("short").to_pylist()), np.uint8).reshape(len(ids), bins)
-            minor = np.flatnonzero(c != major)
+            ids, c = rows.column("id").to_numpy(), rows.column("c").to_numpy()
             column = rows.column("set").combine_chunks()
             edge, values = np.asarray(column.offsets), np.asarray(column.values)
             root = {int(v): int(v) for v in np.unique(c)}
@@ -154,36 +192,29 @@ def _between(rows: DataFrame, percent: int, bins: int, tasks: int) -> DataFrame:
                 return v
 
             links = []
-            for at in range(0, len(minor), 16):
-                m = minor[at : at + 16]
-                ok = (c[m][:, None] != c[None, :]) & ((c == major)[None, :] | (ids[m][:, None] < ids[None, :]))
-                ok &= (n[m][:, None] * 100 >= n[None, :] * percent) & (n[None, :] * 100 >= n[m][:, None] * percent)
-                if i != j:
-                    ok &= part[m][:, None] != part[None, :]
-                x, y = np.nonzero(ok)
-                for k in range(0, len(x), 20_000):
-                    u, w = m[x[k : k + 20_000]], y[k : k + 20_000]
-                    good = (short[u] == short[w]).sum(1) >= least
-                    for p, q in zip(u[good].tolist(), w[good].tolist(), strict=True):
-                        f, g = find(int(c[p])), find(int(c[q]))
-                        if f == g:
-                            continue
-                        one, two = values[edge[p] : edge[p + 1]], values[edge[q] : edge[q + 1]]
-                        both = np.sort(np.concatenate([one, two]))
-                        same = int((both[1:] == both[:-1]).sum())
-                        if same * 100 >= percent * (len(both) - same):
-                            root[max(f, g)] = min(f, g)
-                            links.append((int(ids[p]), int(ids[q])))
+            for u, w in _likely(rows, i != j, percent, bins):
+                for p, q in zip(u.tolist(), w.tolist(), strict=True):
+                    f, g = find(int(c[p])), find(int(c[q]))
+                    if f == g:
+                        continue
+                    one, two = values[edge[p] : edge[p + 1]], values[edge[q] : edge[q + 1]]
+                    both = np.sort(np.concatenate([one, two]))
+                    same = int((both[1:] == both[:-1]).sum())
+                    if same * 100 >= percent * (len(both) - same):
+                        root[max(f, g)] = min(f, g)
+                        links.append((int(ids[p]), int(ids[q])))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*links, strict=True)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return _dealt(rows, ["n", "c", "major", "short", "set"], tasks).mapInArrow(run, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """The stored pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     one, two = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", (F.size("x") + F.size("y")).cast("long").alias("n"), F.size(F.array_intersect("x", "y")).cast("long").alias("i"))
+    n = pairs.count()
+    # A document has few partners b, but one b may be the partner of very many: these are dealt over tasks before they get their sets.
+    both = join_split(pairs, two, "b", "a", n).join(one, "a").select("a", "b", (F.size("x") + F.size("y")).cast("long").alias("n"), F.size(F.array_intersect("x", "y")).cast("long").alias("i"))
     return both.where(F.col("i") * 100 >= percent * (F.col("n") - F.col("i"))).select("a", "b").distinct()
 
 
@@ -213,13 +244,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     # First: the member of its bands that each representative has most in common with.
     stars = members.where("id != pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("c"))
     first = stars.groupBy("id").agg(F.max_by("pivot", F.struct("c", (-F.col("pivot")).alias("p"))).alias("b")).select(F.col("id").alias("a"), "b")
+    first = scratch.keep(first, "first")
     links = scratch.keep(_confirmed(first, sets, percent), "links")
     group = scratch.keep(components(links, scratch), "groups")
     # Then: all other least members, where the components still differ.
     of = lambda df, key, name: df.join(group.select(F.col("id").alias(key), F.col("component").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
     second = of(of(members.where("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "a", "ca"), "b", "cb").where("ca != cb").select("a", "b")
     second = second.join(first, ["a", "b"], "left_anti")
-    more = scratch.keep(_confirmed(second, sets, percent), "links")
+    more = scratch.keep(_confirmed(scratch.keep(second, "second"), sets, percent), "links")
     if more.limit(1).count():
         links = links.unionByName(more)
         group = scratch.keep(components(links, scratch), "groups")
@@ -227,11 +259,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     placed = of(of(members.where("size > 2"), "id", "c"), "pivot", "major")
     placed = scratch.keep(placed.select("band", "size", "id", "n", "c", "major"), "placed")
     mixed = placed.where("c != major").select("band").distinct()
-    short = sets.select("id", "short", "set")
-    third = _between(placed.join(mixed, "band", "left_semi").join(short, "id"), percent, bands * rows, 2 * partitions(spark))
-    more = scratch.keep(third, "links")
+    tasks = 2 * partitions(spark)
+    some = scratch.keep(_candidates(placed.join(mixed, "band", "left_semi").join(sets.select("id", "short"), "id"), percent, bands * rows, tasks), "candidates")
+    left = placed.drop("size").join(some, ["band", "id"]).join(some.groupBy("band").agg(F.count(F.lit(1)).alias("size")), "band")
+    more = scratch.keep(_between(left.join(sets, "id"), percent, bands * rows, tasks), "links")
     if more.limit(1).count():
         group = scratch.keep(components(links.unionByName(more), scratch), "groups")
+    scratch.drop(shared, members, sets, first, placed, some)
     same = reps.select("k1", "k2", "id").join(group, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
     out = every.select("doc_id", "n_shingles", "k1", "k2").join(same, ["k1", "k2"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("component").isNull()
