@@ -5,8 +5,11 @@ hash tables quantises ``width`` random projections; vectors in one bucket of any
 compared by cosine in double precision.  At cosine 0.9 (distance 0.447) a pair has no
 common bucket in 40 tables of 8 projections with a probability of 1e-4, at 0.95 of 1e-7.
 
-Buckets are compared block by block as matrix products.  Nothing is emitted for a pair: a
-block gives each vector the number of its links and the smallest id of its local
+Rows of a bucket first carry a sketch of 128 signs of other random projections instead of
+the vector.  At most as many signs differ in a pair of the cosine asked for as are stated
+by ``_most_signs`` (but for one pair in ten million), so members without such a partner go.
+What is left is compared block by block as matrix products, with vectors.  Nothing is emitted for a
+pair: a block gives each vector the number of its links and the smallest id of its local
 component.  A pair that shares buckets in several tables counts in the first of them
 only.  Equal vectors are one weighted representative, and a bucket larger than ``block``
 is split into parts that meet pairwise in tasks of their own.  A row of a bucket carries the
@@ -16,6 +19,7 @@ components as they were stored and the hashes of the tables before its own, noth
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import Scratch, blocks, partitions
+from .shared import Scratch, blocks, few, partitions
 
 TABLES, WIDTH, STEP, BLOCK = 40, 8, 2.0, 1500
-HOT_BROADCAST = 20_000  # rows of (bucket, size) that may be broadcast; more are joined by shuffle
+SIGNS = 128
 
 
 def _vectors(column) -> tuple[list[np.ndarray | None], np.ndarray]:
@@ -66,6 +70,18 @@ def _hashes(x: np.ndarray, tables: int, width: int, step: float) -> np.ndarray:
     return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)).astype(np.int32)
 
 
+def _signs(x: np.ndarray) -> np.ndarray:
+    """The signs of ``SIGNS`` random projections, as two 64-bit integers a row."""
+    a = np.random.default_rng([x.shape[1], 77]).standard_normal((x.shape[1], SIGNS))
+    return np.packbits(x @ a > 0, axis=1).view(np.int64)
+
+
+def _most_signs(cosine: float) -> int:
+    """So many signs differ in a pair of this cosine or more, at most: the mean and 5.2 standard deviations."""
+    p = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    return min(SIGNS, math.ceil(SIGNS * p + 5.2 * math.sqrt(SIGNS * p * (1 - p))))
+
+
 def _stored(table: DataFrame) -> str:
     """The type that holds every component exactly: float32 if the column does, else float64."""
     return "float32" if isinstance(table.schema["embedding"].dataType.elementType, T.FloatType) else "float64"
@@ -85,21 +101,56 @@ def _prepare(table: DataFrame, kind: str) -> DataFrame:
 
 
 def _hashed(reps: DataFrame, kind: str, tables: int, width: int, step: float) -> DataFrame:
-    """id, weight, v and h (the buckets, as bytes of 32-bit integers) with their list."""
+    """id, weight, v and h (the buckets, as bytes of 32-bit integers) with their list, and the signs."""
 
     def run(batches):
         for batch in batches:
             x = batch.column("v").to_pylist()
-            h = np.zeros((len(x), tables), np.int32)
+            h, signs = np.zeros((len(x), tables), np.int32), np.zeros((len(x), 2), np.int64)
             size = np.array([len(v) for v in x])
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
-                h[at] = _hashes(_rows([x[i] for i in at], kind), tables, width, step)
+                unit = _rows([x[i] for i in at], kind)
+                h[at], signs[at] = _hashes(unit, tables, width, step), _signs(unit)
             both = h.astype(np.int64) | (np.arange(tables, dtype=np.int64) << 32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * tables, pa.int32()), pa.array(both.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("weight"), batch.column("v"), pa.array([r.tobytes() for r in h], pa.binary()), lists], ["id", "weight", "v", "h", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("weight"), batch.column("v"), pa.array([r.tobytes() for r in h], pa.binary()), lists, *(pa.array(signs[:, k]) for k in (0, 1))], ["id", "weight", "v", "h", "buckets", "s1", "s2"])
+
+    return reps.mapInArrow(run, "id long, weight long, v binary, h binary, buckets array<long>, s1 long, s2 long")
+
+
+def _dealt(members: DataFrame, more: list, block: int, tasks: int, scratch: Scratch) -> DataFrame:
+    """Stored rows of buckets (bucket, id) with the columns ``more``, sorted for ``blocks``; a bucket over ``block`` in parts that meet pairwise."""
+    hot, n = few(scratch.keep(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block), "hot"))
+    spread = members.join(hot, "bucket", "left") if n else members.withColumn("size", F.lit(None).cast("long"))
+    parts = F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("int")
+    spread = spread.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = spread.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", *more)
+    return dealt.repartition(tasks, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
-    return reps.mapInArrow(run, "id long, weight long, v binary, h binary, buckets array<long>")
+
+def _likely(dealt: DataFrame, cosine: float) -> DataFrame:
+    """(bucket, id) of the members that differ from another member of their bucket in few signs."""
+    most = _most_signs(cosine)
+
+    def run(batches):
+        for (bucket, i, j), held in blocks(batches, ("bucket", "i", "j")):
+            rows = pa.Table.from_batches(held)
+            s, side = np.stack([rows.column(c).to_numpy() for c in ("s1", "s2")]).view(np.uint64), rows.column("part").to_numpy()
+            some = np.zeros(rows.num_rows, bool)
+            for a in range(0, rows.num_rows, 512):
+                far = np.bitwise_count(s[0, a : a + 512, None] ^ s[0, a:]) + np.bitwise_count(s[1, a : a + 512, None] ^ s[1, a:])
+                near = far <= most
+                np.fill_diagonal(near, False)
+                if i != j:
+                    near &= side[a : a + 512, None] != side[a:]
+                some[a : a + 512] |= near.any(1)
+                some[a:] |= near.any(0)
+            ids = rows.column("id").to_numpy()[some]
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), bucket)), pa.array(ids)], ["bucket", "id"])
+
+    return dealt.mapInArrow(run, "bucket long, id long").distinct()
 
 
 def _compare(block: dict, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,16 +213,11 @@ def near_duplicates(table: DataFrame, cosine: float = 0.9, tables: int = TABLES,
     reps = reps.select("key", F.col("r.vec_id").alias("id"), "weight", F.col("r.v").alias("v"))
     keys = scratch.keep(reps, "representatives")
     hashed = scratch.keep(_hashed(keys.select("id", "weight", "v"), kind, tables, width, step), "hashed")
-    hot = scratch.keep(hashed.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block), "hot")
-    n_hot = hot.count()
-    spread = hashed.select("id", "weight", "v", "h", F.explode("buckets").alias("bucket"))
-    spread = spread.join(F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot, "bucket", "left") if n_hot else spread.withColumn("size", F.lit(None).cast("long"))
-    parts = F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("int")
-    spread = spread.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
-    dealt = spread.select("id", "weight", "v", "h", "bucket", "part", other).select("*", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    tasks = partitions(spark) * 2
+    every_bucket = hashed.select("id", "s1", "s2", F.explode("buckets").alias("bucket"))
+    members = scratch.keep(_likely(_dealt(every_bucket, ["s1", "s2"], block, tasks, scratch), cosine), "members")
     before = F.expr("substring(h, 1, 4 * cast(shiftright(bucket, 32) as int))").alias("h")
-    dealt = dealt.select("bucket", "i", "j", "part", "id", "weight", "v", before).repartition(partitions(spark) * 2, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    dealt = _dealt(members.join(hashed.select("id", "weight", "v", "h"), "id"), ["weight", "v", before], block, tasks, scratch)
 
     def run(batches):
         for (bucket, i, j), held in blocks(batches, ("bucket", "i", "j")):
@@ -193,6 +239,7 @@ def near_duplicates(table: DataFrame, cosine: float = 0.9, tables: int = TABLES,
 
     found = scratch.keep(dealt.mapInArrow(run, "id long, links long, root long"), "links")
     group = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
+    scratch.drop(hashed, members)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     known = keys.select("key", "id", "weight").join(links, "id", "left").join(group, "id", "left")
     known = known.select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
