@@ -38,7 +38,7 @@ def source(ctx: Context, node: Node, ins) -> dict[str, Rel]:
             ctx.warn(f"{node.name}: the order of the source query is not kept")
         df = ctx.tables.query(text)
     elif o.get("table"):
-        df = ctx.tables.read(o["table"])
+        df = ctx.tables.read(o["table"], o.get("database", ""))
     else:
         raise FlowError("the source has neither SQL nor a table")
     return {"out": Rel(_projected(df, o.get("columns")))}

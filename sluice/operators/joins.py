@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..errors import FlowError
@@ -13,9 +12,14 @@ from ..plans.run import Context, Rel, operator
 from ..sources import strip_order
 from .endpoints import names
 
-BROADCAST_ROWS = 1_000_000  # a lookup declared with at most so many rows may be sent to all executors
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20  # a lookup declared small may be sent to all executors up to so many rows and bytes (as text)
 
 
+def _is_small(ref) -> bool:
+    """Whether all rows of the reference fit the limits; more rows than that are not read."""
+    size = ref.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_BYTES
+
 
 @operator("lookup")
 def lookup(ctx: Context, node: Node, ins) -> dict[str, Rel]:
@@ -24,7 +28,7 @@ def lookup(ctx: Context, node: Node, ins) -> dict[str, Rel]:
     Reference mode keeps rows without a partner in "match" with nulls and multiplies rows
     whose key repeats.  In ssis mode "match" holds the first partner only (by ``order``),
     and rows without one are in "nomatch", or fail the run under ``on_missing="fail"``.
-    Spark broadcasts the reference if its statistics allow; ``small=True`` asks for it and is checked by a count.
+    Spark broadcasts the reference if its statistics allow; ``small=True`` asks for it and is checked by count and bytes.
     """
     rel, o = ins[0][1], node.options
     if not o.get("keys"):
@@ -39,10 +43,14 @@ def lookup(ctx: Context, node: Node, ins) -> dict[str, Rel]:
     needed = list(dict.fromkeys([*(y for _, y in keys), *take.values(), *(there[c.lower()] for c in o.get("order", []))]))
     ref = ref.select(*(F.col(f"`{c}`") for c in needed))
     if ctx.compat == "ssis":
-        rank = Window.partitionBy(*(f"`{y}`" for _, y in keys)).orderBy(*(F.col(f"`{there[c.lower()]}`") for c in o.get("order", needed)))
-        ref = ref.where(" and ".join(f"`{y}` is not null" for _, y in keys)).withColumn("__first", F.row_number().over(rank)).where("__first = 1").drop("__first")
+        # The first row of each key: the least by its order, found before the shuffle already.
+        by = list(dict.fromkeys(y for _, y in keys))
+        ranked = list(dict.fromkeys([*(there[c.lower()] for c in o.get("order", [])), *needed]))
+        least = F.min(F.struct(*(F.col(f"`{c}`") for c in ranked))).alias("__first")
+        ref = ref.where(" and ".join(f"`{y}` is not null" for y in by)).groupBy(*(F.col(f"`{y}`") for y in by)).agg(least)
+        ref = ref.select(*(F.col(f"`{c}`") if c in by else F.col("__first")[c].alias(c) for c in needed))
     left, right = rel.df.alias("l"), ref.alias("r")
-    if o.get("small") and ref.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if o.get("small") and _is_small(ref):
         right = F.broadcast(right)
     clash = [n for n in take if n.lower() in have]
     if clash:

@@ -48,6 +48,18 @@ class Flow:
         return [self.nodes[n] for n in out]
 
 
+@dataclass
+class Project:
+    """What the packages of a folder share: typed parameters and connections."""
+
+    name: str
+    protection: str = ""
+    packages: list[str] = field(default_factory=list)
+    parameters: dict[tuple[str, str], tuple[str | None, str]] = field(default_factory=dict)
+    connections: dict[str, dict[str, Any]] = field(default_factory=dict)
+    sensitive: set[tuple[str, str]] = field(default_factory=set)
+
+
 @dataclass
 class Package:
     """Flows in order, with typed variables: (namespace, name) to (text, type code), and calls of other packages."""
@@ -55,7 +67,8 @@ class Package:
     name: str
     flows: list[Flow] = field(default_factory=list)
     variables: dict[tuple[str, str], tuple[str | None, str]] = field(default_factory=dict)
-    connections: dict[str, dict[str, str]] = field(default_factory=dict)
+    connections: dict[str, dict[str, Any]] = field(default_factory=dict)
+    project_connections: dict[str, dict[str, Any]] = field(default_factory=dict)
     calls: dict[str, str] = field(default_factory=dict)  # task to package file
     precedence: list[tuple[str, str, str]] = field(default_factory=list)  # before, after, success | completion | failure
     statements: list[str] = field(default_factory=list)

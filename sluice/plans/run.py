@@ -19,12 +19,30 @@ from .flow import Flow, Node, Package
 log = logging.getLogger(__name__)
 
 
+@dataclass
+class Split:
+    """What a conditional split reads, and the number of the port of each row."""
+
+    df: DataFrame
+    route: Column
+
+
+@dataclass
+class Branch:
+    """A port of a split, and the columns that were added to it since, step by step."""
+
+    split: Split
+    port: int
+    added: list[dict[str, Column]] = field(default_factory=list)
+
+
 @dataclass
 class Rel:
-    """A data set on its way, and the order that a sink directly after a sort applies."""
+    """A data set on its way, the order that a sink directly after a sort applies, and the split that it is a branch of."""
 
     df: DataFrame
     order: list[tuple[str, bool]] = field(default_factory=list)
+    branch: Branch | None = None
 
 
 @dataclass
@@ -61,6 +79,7 @@ class Result:
     ports: dict[str, Rel]
     sinks: dict[str, Sink]
     context: Context
+    last: str = ""
 
     def df(self, name: str) -> DataFrame:
         """What arrives at a sink (sorted as the sink would), or what a port holds."""
@@ -69,6 +88,10 @@ class Result:
             return rel.df.orderBy(*[_sorted(rel.df, c, up) for c, up in rel.order]) if rel.order else rel.df
         return self.ports[name if "." in name else f"{name}.out"].df
 
+    def preview(self) -> DataFrame:
+        """Of a flow without a destination: what the last node without a reader holds."""
+        return self.ports[self.last].df
+
     def count(self, name: str) -> int:
         """A row count's variable: rows seen by the first action that ran through it."""
         return int(self.context.observed[name].get["rows"])
@@ -130,7 +153,11 @@ def plan(flow: Flow, ctx: Context) -> Result:
         ports |= {f"{node.name}.{port}": rel for port, rel in made.items()}
     for w in flow.warnings:
         ctx.warn(w)
-    return Result(ports, sinks, ctx)
+    read = {x for node in flow.nodes.values() for _, x in node.inputs}
+    ends = [p for p in ports if p not in read and not p.endswith(".error")]
+    if not sinks and ends:
+        ctx.warn(f"{flow.name}: no destination; the rows of {ends[-1]} are a preview")
+    return Result(ports, sinks, ctx, ends[-1] if ends else "")
 
 
 def run(flow: Flow, ctx: Context) -> Result:

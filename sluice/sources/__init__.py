@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -53,21 +55,55 @@ def spark_sql(sql: str) -> str:
     return re.sub(r"\0(\d+)\0", lambda m: kept[int(m[1])], text)
 
 
+def qualified(name: str, database: str) -> str:
+    """A name of one or two parts under ``database``, with schema dbo if it has none; longer names stay."""
+    parts = [p.strip('[]"') for p in re.findall(r"\[[^\]]*\]|\"[^\"]*\"|[^.\[\]\"]+", name.strip())]
+    if not database or len(parts) >= 3:
+        return ".".join(parts)
+    return ".".join([database, *(["dbo"] if len(parts) == 1 else []), *parts])
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, under ``spark.checkpoint.dir``; in local tests without it a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise FlowError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="sluice-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 @dataclass
 class Tables:
-    """Where tables are: ``known`` data sets by name first, then ``folder``, then JDBC, then the catalog (under ``namespace``)."""
+    """Where tables are: ``known`` data sets by name first, then ``folder``, then JDBC, then the catalog (under ``namespace``).
+
+    With ``qualify`` names are looked up under the database of their connection.  With ``files``
+    flat files lie in that folder, under the last part of the path that their connection names.
+    """
 
     spark: SparkSession
     folder: str | None = None
     known: dict[str, DataFrame] = field(default_factory=dict)
     namespace: str = ""
     jdbc: dict[str, str] | None = None
+    qualify: bool = False
+    files: str = ""
+
+    def file(self, path: str) -> str:
+        return f"{self.files.rstrip('/')}/{re.split(r'[/' + chr(92) * 2 + ']', path)[-1]}" if self.files else path
 
-    def read(self, name: str) -> DataFrame:
+    def read(self, name: str, database: str = "") -> DataFrame:
         short = simple_name(name)
-        found = {k.lower(): v for k, v in self.known.items()}.get(short.lower())
-        if found is not None:
-            return found
+        known = {k.lower(): v for k, v in self.known.items()}
+        if self.qualify and database:
+            name = qualified(name, database)
+            if name.lower() in known:
+                return known[name.lower()]
+            if not self.folder and not self.jdbc:
+                return self.spark.table(f"{database}.{short}")
+        if short.lower() in known:
+            return known[short.lower()]
         if self.folder:
             return self.spark.read.parquet(f"{self.folder.rstrip('/')}/{short}.parquet")
         if self.jdbc:
@@ -86,16 +122,24 @@ class Tables:
         """Flat file: ``path`` and ``schema``, with ``header``, ``sep`` and ``null_value``."""
         if not options.get("path"):
             raise FlowError("a flat file needs a path")
-        reader = self.spark.read.option("header", options.get("header", True)).option("sep", options.get("sep", ",")).option("nullValue", options.get("null_value", "")).option("quote", options.get("quote", '"'))
-        return (reader.schema(options["schema"]) if options.get("schema") else reader).csv(options["path"])
+        reader = self.spark.read.option("header", options.get("header", True)).option("sep", options.get("sep", ",")).option("nullValue", options.get("null_value", "")).option("quote", options.get("quote", '"') or "\0")
+        return (reader.schema(options["schema"]) if options.get("schema") else reader).csv(self.file(options["path"]))
 
     def write(self, df: DataFrame, options: dict[str, Any]) -> None:
-        """Append to a table, or write files: ``path`` with ``format`` (parquet or csv)."""
+        """Append to a table, or write files: ``path`` with ``format`` (parquet or csv, with ``header``, ``sep`` and ``quote``)."""
+        database = options.get("database", "") if self.qualify else ""
         if options.get("path"):
             writer = df.write.mode(options.get("mode", "append"))
-            (writer.option("header", True).csv if options.get("format") == "csv" else writer.parquet)(options["path"])
+            if options.get("format") == "csv":
+                writer.option("header", options.get("header", True)).option("sep", options.get("sep", ",")).option("quote", options.get("quote", '"') or "\0").csv(self.file(options["path"]))
+            else:
+                writer.parquet(self.file(options["path"]))
         elif self.jdbc:
-            df.write.format("jdbc").options(**self.jdbc, dbtable=options["table"]).mode("append").save()
+            df.write.format("jdbc").options(**self.jdbc, dbtable=qualified(options["table"], database) if database else options["table"]).mode("append").save()
         else:
-            short = simple_name(options["table"])
-            df.write.mode("append").saveAsTable(f"{self.namespace}.{short}" if self.namespace else short)
+            short, space = simple_name(options["table"]), database or self.namespace
+            df.write.mode("append").saveAsTable(f"{space}.{short}" if space else short)
+
+    def execute(self, sql: str) -> None:
+        """A statement for its effect."""
+        self.spark.sql(spark_sql(sql))

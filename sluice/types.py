@@ -51,12 +51,12 @@ def length_limit(code: str, length: int | None, default: bool = False) -> int |
     return None
 
 
-def cast(column: Column, code: str, length: int | None = None, precision: int | None = None, scale: int | None = None, kind: str = "") -> Column:
-    """A cast with the truncation of bounded strings.  Bad input raises, as ANSI casts do."""
+def cast(column: Column, code: str, length: int | None = None, precision: int | None = None, scale: int | None = None, kind: str = "", lenient: bool = False) -> Column:
+    """A cast with the truncation of bounded strings.  Bad input raises, as ANSI casts do; under ``lenient`` it gives null."""
     name, target = plain(code), spark_type(code, precision, scale)
     if kind in ("dec", "float", "str") and isinstance(target, (T.ShortType, T.IntegerType, T.LongType)) and kind != "str":
         column = F.when(column >= 0, F.floor(column)).otherwise(F.ceil(column))
-    out = column.cast(target)
+    out = column.try_cast(target) if lenient else column.cast(target)
     most = length_limit(name, length, default=True)
     return F.left(out, F.lit(most)) if most else out
 

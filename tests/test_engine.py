@@ -2,7 +2,7 @@ import duckdb
 import pytest
 from pyspark.sql import types as T
 
-from sluice import queries
+from sluice import package_queries, queries  # noqa: F401  the first adds to the second
 from sluice.compare import compare
 from sluice.errors import ExpressionError
 from sluice.functions import Expressions
@@ -135,3 +135,90 @@ def test_package_file(spark, tmp_path):
     t = spark.createDataFrame([(1, 4)], T.StructType([T.StructField("id", T.IntegerType()), T.StructField("v", T.IntegerType())]))
     result = plan(package.flows[0], context(spark, Tables(spark, None, {"t": t}), package, strict=True))
     assert [r.asDict() for r in result.df("Dst").collect()] == [{"doubled": 8}]
+
+
+SAMPLES = package_queries.SAMPLES
+
+
+def test_lookup_that_must_match_fails(spark):
+    left, ref = spark.createDataFrame([(1, 1), (2, 9)], "id int, k int"), spark.createDataFrame([(1, "x")], "c int, name string")
+    flow = Flow().add("s", "source", table="o").add("l", "lookup", "s", table="r", keys={"k": "c"}, take={"name": "name"}, on_missing="fail")
+    with pytest.raises(Exception, match="no match"):
+        plan(flow, _ctx(spark, {"o": left, "r": ref}, compat="ssis", strict=True)).df("l.match").collect()
+
+
+def test_split_whose_branches_meet_reads_its_source_once(spark):
+    df = queries.QUERIES["etl_full"](spark, SF)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("orders.parquet") + text.count("Relation") == 2 and text.count("Join") == 1
+
+
+def test_split_union_falls_back_for_other_columns(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, s string")
+    flow = Flow().add("s", "source", table="t").add("c", "conditional_split", "s", conditions={"one": "[id] == 1"})
+    flow.add("d", "derived_column", "c.one", expressions={"s": "[id] * 2"}).add("e", "derived_column", "c.default", expressions={"s": "[id] * 3", "x": "[id]"}).add("u", "union_all", "d", "e")
+    assert sorted(tuple(r) for r in plan(flow, _ctx(spark, {"t": t}, strict=True)).df("u").collect()) == [(1, 2), (2, 6), (3, 9)]
+    flow = Flow().add("s", "source", table="t").add("c", "conditional_split", "s", conditions={"one": '[s] == "a"'})
+    flow.add("d", "derived_column", "c.one", expressions={"x": '"A"'}).add("e", "derived_column", "c.default", expressions={"x": '"B"'}).add("u", "union_all", "d", "e")
+    for compat, want in (("reference", [(1, "a", "A"), (2, "b", "B")]), ("ssis", [(1, "a", "A"), (2, "b", "B"), (3, None, "B")])):
+        assert sorted(tuple(r) for r in plan(flow, _ctx(spark, {"t": t}, compat=compat, strict=True)).df("u").collect()) == want
+
+
+def test_append_to_a_catalog_table(spark, tmp_path):
+    spark.sql(f"create database if not exists lake location '{tmp_path}/lake'")
+    spark.sql("drop table if exists lake.kept")
+    t = spark.createDataFrame([(1, "a")], "id int, s string")
+    flow = Flow().add("s", "source", table="t").add("o", "destination", "s", mapping={"id": "id", "s": "s"}, table="[dbo].[kept]", database="lake")
+    tables = Tables(spark, None, {"t": t}, qualify=True)
+    for _ in range(2):
+        run(flow, context(spark, tables, strict=True))
+    assert tables.read("[kept]", "lake").count() == 2 == Tables(spark, None, namespace="lake").read("kept").count()
+    spark.sql("drop database lake cascade")
+
+
+def test_names_under_a_database():
+    from sluice.sources import qualified
+
+    assert [qualified(x, "db") for x in ("t", "[s].[t]", "a.s.t")] == ["db.dbo.t", "db.s.t", "a.s.t"] and qualified("[s].[t]", "") == "s.t"
+
+
+def test_constraints_by_name_and_statements(spark, tmp_path):
+    from sluice.plans.control import run_package
+    from sluice.sources.dtsx import read_package
+
+    text = (SAMPLES / "tree" / "main.dtsx").read_text()
+    (tmp_path / "p.dtsx").write_text(text.replace("</DTS:Executables>\n<DTS:Prec", '<DTS:Executable DTS:refId="Package\\Sql" DTS:ExecutableType="Microsoft.ExecuteSQLTask" DTS:ObjectName="Sql"><DTS:ObjectData><SqlTaskData SqlStatementSource="CREATE OR REPLACE TEMP VIEW made AS SELECT 1 AS one"/></DTS:ObjectData></DTS:Executable></DTS:Executables>\n<DTS:Prec'))
+    package = read_package(tmp_path / "p.dtsx")
+    assert [w for _, _, w in package.precedence] == ["success", "failure"] and package.precedence[0][1].endswith("second")
+    assert package.statements and package.calls["Package\\Box\\second"] == "Second%20Load.dtsx"
+    run_package(spark, package, Tables(spark), tmp_path, compat="ssis")
+    assert spark.table("made").count() == 1
+
+
+def test_tree_with_a_broken_package(spark, tmp_path, capsys):
+    import shutil
+
+    from sluice.__main__ import main
+    from sluice.plans.control import plan_tree, read_manifest, step_job
+    from sluice.errors import PackageError
+
+    shutil.copytree(SAMPLES / "tree", tmp_path / "in")
+    (tmp_path / "in" / "plain" / "broken.dtsx").write_text("<not valid")
+    args = ["run-tree", str(tmp_path / "in"), "--tables", SF, "--manifest", str(tmp_path / "m.json")]
+    assert main([*args, "--plan-only"]) == 1 and "broken.dtsx" in capsys.readouterr().err
+    manifest = read_manifest((tmp_path / "m.json").read_text())
+    assert {e["job"] for e in manifest["entries"]} >= {"main", "first", "plain_a"} and manifest["failed"]
+    assert step_job({"entries": [{"package": "x/a.dtsx", "job": "1"}, {"package": "y/a.dtsx", "job": "2"}]}, "a.dtsx") == (None, ["1", "2"])
+    assert main(["resolve-step", str(tmp_path / "m.json"), "/F first.dtsx"]) == 0 and main(["resolve-step", str(tmp_path / "m.json"), "/F none.dtsx"]) == 1
+    alone = plan_tree(SAMPLES / "tree", orchestrate=False)
+    assert not alone.entries and not any(alone.jobs.values())
+    assert main(args, spark) == 1
+    for text in ("{", "[]", '{"version": 2, "entries": []}', '{"version": 1, "entries": [{"package": "../a.dtsx", "job": "a"}]}'):
+        with pytest.raises(PackageError):
+            read_manifest(text)
+
+
+def test_jdbc_names(spark):
+    """Names and options of a JDBC source, without a server."""
+    with pytest.raises(Exception, match="(?i)driver|jdbc|suitable"):
+        Tables(spark, jdbc={"url": "jdbc:none:x"}, qualify=True).read("[t]", "db")
