@@ -7,15 +7,19 @@ checks below; a threshold for each kind, calibrated on a part of the sample that
 did not see, selects redactions.
 
 Spans of the base formats that pass their checks (see ``base_spans``) are always selected.
-They are also the labels: among candidates, those that agree with a checked base span are
-positive, the others negative.  The trees so learn what checked personal data look like,
-and add candidates of other spellings only where precision on unseen candidates was high.
+Labels of the other candidates come from evidence that the trees do not see: a loose
+spelling is positive if its normal form passes the check of its kind, and, where that is
+weak (numbers without a plus sign, lists of small numbers), a cue word stands before it.
+As loose spellings are rare in a corpus, checked spans of the sample are also rewritten to
+them in place; parts of these are negative.  Thresholds are calibrated on candidates that
+are not base spans alone, so a kind whose candidates cannot be told apart adds nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,7 @@ PRECISION = 0.98
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # a match that fails at the first of several digits fails at all
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -71,14 +75,58 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-# Loose spellings: spaces or words for the signs of an address, other separators between digits.
+# Loose spellings: spaces, brackets or words for the signs of an address, other separators between digits.
+_AT, _DOT = r"(?:@| @ | ?\(at\) ?| ?\[at\] ?| ?\(@\) ?| ?\[@\] ?)", r"(?:\.| \. | ?\(dot\) ?| ?\[dot\] ?| ?\(\.\) ?| ?\[\.\] ?)"
 _LOOSE = (
-    ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}){1,8}")),
-    ("ip", re.compile(r"(?<![0-9.])[0-9]{1,4}(?:[.,][0-9]{1,4}){3}(?![0-9])")),
-    ("card", re.compile(r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){11,22}(?![0-9])")),
-    ("phone", re.compile(r"(?<![0-9+])(?:\+|00)?\(?[0-9]{1,4}[\x20().-]{1,3}[0-9]{2,4}[\x20.-]{1,2}[0-9]{2,4}(?:[\x20.-]{1,2}[0-9]{2,4}){0,3}(?![0-9])")),
+    ("email", re.compile(rf"[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,8}}")),
+    ("ip", re.compile(rf"(?<![0-9.])[0-9]{{1,4}}(?:(?:,|{_DOT})[0-9]{{1,4}}){{3}}(?![0-9])")),
+    ("card", re.compile(r"(?<![0-9])[0-9](?:[\x20._/-]?[0-9]){11,22}(?![0-9])")),
+    ("phone", re.compile(r"(?<![0-9+])(?:\+|00)?\(?[0-9]{1,4}[\x20()./-]{1,3}[0-9]{2,4}[\x20./-]{1,2}[0-9]{2,4}(?:[\x20./-]{1,2}[0-9]{2,4}){0,3}(?![0-9])")),
 )
 _NEEDS = {"email": re.compile(r"@|\(at\)|\[at\]"), "ip": _DIGIT, "card": _DIGIT, "phone": _DIGIT}
+# Words that announce a span of a kind.
+_CUES = {
+    "email": re.compile(r"mail|contact|write|address|adresse|correo|courriel", re.I), "ip": re.compile(r"\bip\b|host|server|address|adresse|serveur|servidor", re.I),
+    "card": re.compile(r"card|visa|master|amex|karte|carte|tarjeta|payment", re.I), "phone": re.compile(r"tel|phone|call|fax|mobil|anruf|appel|llam", re.I),
+}
+_BRACKETS = re.compile(r"[(\[](?:at|dot|@|\.)[)\]]")
+
+
+def _normal(kind: str, part: str) -> str:
+    """A loose spelling with the signs of the base format."""
+    if kind == "email":
+        return re.sub(_DOT, ".", re.sub(_AT, "@", part))
+    if kind == "ip":
+        return re.sub(_DOT, ".", part).replace(",", ".")
+    if kind == "card":
+        return re.sub(r"[._/]", "", part)
+    return "+" + re.sub(r"^\+|^00", "", part).replace("/", "-")
+
+
+def agrees(text: str, span: tuple[str, int, int]) -> bool:
+    """The label of a candidate that is no base span: its normal form passes the check, with a cue word before it where numbers alone say little."""
+    kind, s, e = span
+    normal, before = _normal(kind, text[s:e]), text[max(0, s - 24) : s]
+    if (kind, 0, len(normal)) not in base_spans(normal):
+        return False
+    if kind == "phone" and not text[s:e].startswith(("+", "00")) or kind == "ip" and "," in text[s:e]:
+        return bool(_CUES[kind].search(before))
+    return kind != "email" or text[s:e] != normal
+
+
+def rewritten(kind: str, part: str, k: int) -> str:
+    """A checked span in one of several loose spellings; ``k`` picks one."""
+    if kind == "email":
+        at, dot = ((" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), (" @ ", " . "), ("[@]", "[.]"))[k % 5]
+        name, _, host = part.partition("@")
+        return name + at + host.replace(".", dot)
+    if kind == "ip":
+        return part.replace(".", ("[.]", "(.)", " . ", "[dot]")[k % 4])
+    digits = re.sub(r"[^0-9]", "", part)
+    if kind == "card":
+        return ("._/"[k % 3]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    head, rest = digits[: max(1, len(digits) - 10)], digits[max(1, len(digits) - 10) :]
+    return (f"00{head} {rest[:3]} {rest[3:6]} {rest[6:]}", f"00{head}-{rest[:3]}-{rest[3:6]}-{rest[6:]}", f"+{head} {rest[:3]}/{rest[3:6]}/{rest[6:]}", f"00{head}.{rest[:3]}.{rest[3:6]}.{rest[6:]}")[k % 4]
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -94,7 +142,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     return list(found)
 
 
-N_FEATURES = 20
+N_FEATURES = 24
 
 
 def features(text: str, span: tuple[str, int, int]) -> list[float]:
@@ -110,6 +158,7 @@ def features(text: str, span: tuple[str, int, int]) -> list[float]:
         float("(" in part), float(part.startswith("+")), float(part[:1] in "456"), sum(c.isalpha() for c in part) / len(part),
         float(before[-1:].isspace() or not before), float(after[:1].isspace() or not after), float(after[:1] in ".,;:)"),
         sum(c.isdigit() for c in before + after), float(bool(re.search(r"\.[A-Za-z]{2,6}$", part))),
+        float("@" in part), len(_BRACKETS.findall(part)), float(bool(_CUES[kind].search(before))), float(part.startswith("00")) + part.count("/"),
     ]
 
 
@@ -145,14 +194,15 @@ class Selector:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> Selector:
-    """Trees on two thirds; on the rest, the lowest threshold of each kind whose candidates above it reach ``precision``.
+def fit(x: np.ndarray, y: np.ndarray, base: np.ndarray, precision: float = PRECISION) -> Selector:
+    """Trees on two thirds; on the rest, without the ``base`` spans, the lowest threshold of each kind whose candidates above it reach ``precision``.
 
     A kind without twenty such candidates on the rest adds nothing.
     """
     held = np.arange(len(y)) % 3 == 2
     start, trees = boost(x[~held], y[~held], 40, 3)
     model = Selector(start, trees, {})
+    held &= ~base
     score = model.scores(x[held])
     for k, kind in enumerate(KINDS):
         mine = x[held][:, 0] == k
@@ -163,6 +213,26 @@ def fit(x: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> Selector:
     return model
 
 
+def examples(text: str) -> list[tuple[int, bool, float, list[float]]]:
+    """Candidates of a text and of its checked spans rewritten: place, whether a base span, label, features."""
+    base = base_spans(text)
+    known = set(base)
+    out = [(c[1], c in known, float(c in known or agrees(text, c)), features(text, c)) for c in candidates(text, base)]
+    for kind, s, e in base:
+        k = zlib.crc32(text[s:e].encode()) + s
+        for j in range(2):
+            part = rewritten(kind, text[s:e], k + j)
+            left = text[max(0, s - 80) : s]
+            near = left + part + text[e : e + 80]
+            whole = (kind, len(left), len(left) + len(part))
+            if any(x == kind and a < whole[2] and whole[1] < z for x, a, z in base_spans(near)):
+                continue  # still a base span, or one in part
+            for c in dict.fromkeys([*candidates(near, []), whole]):
+                if c[1] < whole[2] and whole[1] < c[2]:
+                    out.append((s, False, float(c == whole), features(near, c)))
+    return out
+
+
 def train(docs: DataFrame, docs_most: int = SAMPLE_DOCS, spans_most: int = SAMPLE_SPANS) -> Selector:
     """Fit on candidates of about ``docs_most`` documents, chosen by hash of doc_id, at most ``spans_most`` of them."""
     total = docs.count()
@@ -172,20 +242,18 @@ def train(docs: DataFrame, docs_most: int = SAMPLE_DOCS, spans_most: int = SAMPL
         for part in pieces(batches):
             keys, rows = [], []
             for key, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                if text:
-                    base = base_spans(text)
-                    known = set(base)
-                    for c in candidates(text, base):
-                        keys.append((key, c[1], float(c in known)))
-                        rows.append(features(text, c))
+                for s, base, y, x in examples(text) if text else ():
+                    keys.append((key, s, base, y))
+                    rows.append(x)
             flat = pa.array(np.array(rows, float).ravel() if rows else np.zeros(0))
             xs = pa.FixedSizeListArray.from_arrays(flat, N_FEATURES).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.float64()), xs], ["doc_id", "s", "y", "x"])
+            columns = zip(*keys, strict=True) if keys else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.float64()), strict=True)), xs], ["doc_id", "s", "base", "y", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.pmod(F.xxhash64(F.lit("pii"), "doc_id"), F.lit(share)) == 0)
-    got = rows.mapInArrow(run, "doc_id long, s long, y double, x array<double>").orderBy(F.xxhash64("doc_id", "s"), "doc_id", "s", "y").limit(spans_most).toArrow()
+    got = rows.mapInArrow(run, "doc_id long, s long, base boolean, y double, x array<double>").orderBy(F.xxhash64("doc_id", "s"), "doc_id", "s", "y", "x").limit(spans_most).toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, N_FEATURES)
-    return fit(x, got.column("y").to_numpy().astype(float))
+    return fit(x, got.column("y").to_numpy().astype(float), np.array(got.column("base").to_pylist(), bool))
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:

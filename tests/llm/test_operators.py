@@ -229,13 +229,50 @@ def test_pii(spark, empty):
     assert op5_pii.find(empty).count() == 0
 
 
-def test_pii_trees_add_likely_spans():
+def test_pii_thresholds_count_candidates_beyond_the_base():
     r = random.Random(4)
     texts = [f"card {r.randrange(10**15, 10**16)} x" for _ in range(900)]
     rows = [(op5_pii.features(t, c), float(k % 50 > 0)) for k, t in enumerate(texts) for c in op5_pii.candidates(t, []) if c[0] == "card"]
-    model = op5_pii.fit(np.array([x for x, _ in rows]), np.array([y for _, y in rows]), precision=0.9)
+    x, y = np.array([x for x, _ in rows]), np.array([y for _, y in rows])
+    model = op5_pii.fit(x, y, np.zeros(len(y), bool), precision=0.9)
     assert model.limits["card"] <= 1 and model.limits["email"] > 1
     assert model.add(["card 1234567890123456 x"], [[]]) == [[("card", 5, 21)]]
+    assert min(op5_pii.fit(x, y, y > 0, precision=0.9).limits.values()) > 1
+
+
+def test_pii_loose_spellings(spark):
+    """What trees add on a table with planted spellings and with decoys, after fitting on that table."""
+    r = random.Random(6)
+    words = "the of and at in on home this line number list value mail call".split()
+    some = lambda n: " ".join(r.choice(words) for _ in range(n))
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def luhn(d):
+        return next(d + c for c in "0123456789" if op5_pii._luhn(d + c))
+
+    base = lambda: r.choice([f"{r.choice(words)}.{digits(2)}@mail{digits(1)}.example.com", ".".join(str(r.randrange(256)) for _ in range(4)), luhn("4" + digits(14)), f"+1 ({digits(3)}) 555-{digits(4)}"])
+    texts = [f"{some(8)} {base()} {some(8)}" for _ in range(400)]
+    planted = {}
+    for _ in range(80):
+        kind, part = r.choice([("email", f"{r.choice(words)}.{digits(2)} (at) mail (dot) org"), ("email", f"{r.choice(words)}{digits(2)}[at]mail{digits(1)}[dot]example[dot]com"), ("ip", "[.]".join(str(r.randrange(256)) for _ in range(4))), ("phone", f"001 {digits(3)} 555 {digits(4)}")])
+        left = some(6) + " "
+        planted[len(texts)] = f"{kind}:{len(left)}:{len(left) + len(part)}"
+        texts.append(left + part + " " + some(6))
+    some = lambda n: " ".join(r.choice(words[:-4]) for _ in range(n))  # noqa: E731  no cue word
+    decoys = [f"{some(5)} {x} {some(5)}" for x in ["look @ this. And", "at home (at) noon", "1,2,3,4", "12 34 56 78", "4 of 5", "2024.01.02", "1-2-3", "version 1.2.3", "in 300.1.2.3 or", "1990 - 1995 - 2000"] for _ in range(8)]
+    decoys += [f"{some(5)} {d} {some(5)}" for d in (digits(16) for _ in range(80)) if not op5_pii._luhn(d)]
+    first = len(texts)
+    texts += [*decoys, "9" * 200_000, "a@" * 20_000, texts[400]]
+    planted[len(texts) - 1] = planted[400]
+    d = spark.createDataFrame([(i, t, 7, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans int, n_email string").repartition(3)
+    got = {x.doc_id: x for x in op5_pii.find(d).collect()}
+    right = [i for i, span in planted.items() if got[i].spans == span]
+    assert len(right) >= 0.9 * len(planted)
+    assert not [got[i].spans for i in range(first, len(texts) - 1) if got[i].spans]
+    for i, t in enumerate(texts):
+        if i not in planted:
+            assert [got[i][f"n_{k}"] for k in op5_pii.KINDS] == [sum(x[0] == k for x in op5_pii.base_spans(t)) for k in op5_pii.KINDS]
+            assert got[i].spans == op5_pii._joined(op5_pii.base_spans(t))
 
 
 def test_tokens(spark, docs, empty):
