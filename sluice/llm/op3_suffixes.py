@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, few, partitions
+from .shared import Scratch, few, join_split, partitions
 from .textbytes import hashes, mix, pieces, prefix, slices, utf8
 
 LENGTH = 200
@@ -513,7 +513,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     every = scratch.keep(_digests(docs), "digests")
-    total = every.agg(F.sum("n_bytes")).first()[0] or 0
+    total, rows_in_all = every.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count(F.lit(1))).first()
     v, residues = cover(length)
     tasks = max(partitions(spark), int(total * len(residues) / v) // SAMPLES_A_TASK)
     rows = _names(docs, length, 4 * tasks).repartition(tasks, "part")
@@ -525,10 +525,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     covered = scratch.keep(functools.reduce(DataFrame.unionByName, [_covered(dealt, length), *known]), "covered")
     spans = covered.groupBy("key").agg(F.collect_list("spans").alias("spans"))
     cut = _cut(texts.select("key", "z").join(spans, "key")).distinct()
-    copies = every.where(F.col("n_bytes") >= length).groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    known = copies.join(cut, "key", "left")
-    out = every.join(known, "key", "left")
-    whole = F.col("copies") > 1
+    known = every.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).join(cut, "key", "left")
+    out = join_split(every, known, "key", "doc_id", rows_in_all)
+    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     empty = hashlib.sha256(b"").hexdigest()
     return out.select(
         "doc_id", "n_bytes",
