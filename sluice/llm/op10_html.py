@@ -7,8 +7,9 @@ vote, in all regions alike: article, main and the other block containers.  Their
 common region is returned whole, so that a short paragraph or section is never lost; if it
 stands in an article or main, or is only a part (a section, a cell), what holds it is.  Elements that are never main text (menus,
 headers, footers, asides, forms, scripts, notices, adverts, comments) are left out before:
-by tag, role or a whole class name; those with such a word in a longer name only if their
-text is mostly links.
+by tag, role or a whole class name.  Those with such a word in a longer name, with a name that
+main text may have too (social, legal, share), and articles in other regions (teasers) go
+only if their text is mostly links.
 """
 
 from __future__ import annotations
@@ -34,16 +35,17 @@ CLOSES_P = BLOCK - _WORDS("br html body td th tr tbody thead tfoot caption summa
 ROLES = _WORDS("navigation banner contentinfo complementary search form dialog alert menu menubar")
 NOISE = _WORDS(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu "
-    "breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent notice notices notification gdpr popup modal "
-    "overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist disqus reply replies "
-    "respond pagination pager toolbar skip copyright legal disclaimer"
+    "breadcrumb breadcrumbs footer sidebar aside cookie cookies consent notice notices notification gdpr popup modal "
+    "newsletter subscribe login comment comments commentlist disqus replies pagination pager"
 )
+DOUBT = NOISE | _WORDS("header masthead widget overlay subscription signup share sharing social related recommended reply respond toolbar skip copyright legal disclaimer teaser")
+SCOPE = _WORDS("html table td th caption button object")  # a p outside of these is not closed by a block in them
 _TOKEN = re.compile(r"[a-z]+")
 
 
 def _suspect(attrs) -> bool:
-    """Whether a part of a class or id is a name of NOISE: then the element is left out if it is mostly links."""
-    return any(value and name in ("class", "id") and not NOISE.isdisjoint(_TOKEN.findall(value.lower())) for name, value in attrs)
+    """Whether a part of a class or id is a name of DOUBT: then the element is left out if it is mostly links."""
+    return any(value and name in ("class", "id") and not DOUBT.isdisjoint(_TOKEN.findall(value.lower())) for name, value in attrs)
 
 
 def _noisy(attrs) -> bool:
@@ -65,7 +67,8 @@ class _Blocks(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # name, whether what is inside is left out, region
+        self.open: list[tuple[str, bool, int]] = []  # name, whether what is around is left out, region
+        self.places: dict[str, list[int]] = {"p": [], "": [], "scope": []}  # in ``open``, by name; "": containers and left-out elements, "scope": those of SCOPE
         self.skip, self.region, self.regions = False, 0, [("body", 0)]  # kind and parent of each region
         self.suspects: list[int] = []  # regions with a doubtful name
         self.link, self.linked = False, 0  # whether in a link, and characters of the block in links
@@ -90,13 +93,16 @@ class _Blocks(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.flush()
-            if tag in CLOSES_P and any(x[0] == "p" for x in self.open[-8:]):
+            p, scope = self.places["p"], self.places["scope"]
+            if tag in CLOSES_P and p and (not scope or p[-1] > scope[-1]):
                 self._close("p")
             elif tag in ("li", "tr", "td", "th", "dt", "dd") and self.open and self.open[-1][0] == tag:
                 self._close(tag)
         if tag in VOID:
             self.tags += not self.skip
             return
+        for key in self._keys(tag):
+            self.places.setdefault(key, []).append(len(self.open))
         self.open.append((tag, self.skip, self.region))
         if self.skip:
             return
@@ -105,22 +111,33 @@ class _Blocks(HTMLParser):
         if tag in SKIP or attrs and tag not in ("html", "body") and _noisy(attrs):
             self.skip = True
             return
-        doubt = bool(attrs) and tag in BLOCK and tag not in ("html", "body") and _suspect(attrs)
+        doubt = bool(attrs) and tag in BLOCK and tag not in ("html", "body") and _suspect(attrs) or tag == "article" and self._in_region()
         if tag in CONTAINER or doubt:
             self.regions.append((tag, self.region))
             self.region = len(self.regions) - 1
             if doubt:
                 self.suspects.append(self.region)
 
+    def _in_region(self) -> bool:
+        """Whether an article or main is around."""
+        return bool(self.places.get("article") and len(self.places["article"]) > 1 or self.places.get("main"))
+
+    @staticmethod
+    def _keys(tag: str) -> list[str]:
+        return [tag, *([""] if tag in CONTAINER or tag in SKIP else []), *(["scope"] if tag in SCOPE else [])]
+
     def _close(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name == tag:
-                _, self.skip, self.region = self.open[k]
-                del self.open[k:]
-                return
-            if tag not in CONTAINER and tag not in SKIP and (name in CONTAINER or name in SKIP):
-                return  # a stray end tag does not close what is around it
+        """Close the last open element of this name and all in it; each element is closed once, so pages of any depth take linear time."""
+        places, walls = self.places.get(tag), self.places[""]
+        if not places:
+            return
+        k = places[-1]
+        if walls and walls[-1] > k and tag not in CONTAINER and tag not in SKIP:
+            return  # a stray end tag does not close what is around it
+        _, self.skip, self.region = self.open[k]
+        while len(self.open) > k:
+            for key in self._keys(self.open.pop()[0]):
+                self.places[key].pop()
 
     def handle_endtag(self, tag):
         self.link &= tag != "a"
@@ -136,8 +153,8 @@ class _Blocks(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def _content(blocks: list[tuple[str, int, int]], sigma: float) -> np.ndarray:
-    """Which lines belong to the cluster with the higher smoothed text-to-tag ratio."""
+def _content(blocks: list[tuple[str, int, int]], sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines belong to the cluster with the higher smoothed text-to-tag ratio, and which of them would also by their own."""
     n = len(blocks)
     kernel, weight = _kernel(sigma)
     reach = len(kernel) // 2
@@ -146,15 +163,16 @@ def _content(blocks: list[tuple[str, int, int]], sigma: float) -> np.ndarray:
     smooth = np.log1p((np.convolve(ratio, kernel) / norm)[reach : reach + n])
     low, high = smooth.min(), smooth.max()
     if high - low < 0.7:  # one cluster: less than a factor of two between the lines
-        return np.ones(n, bool)
-    upper, before = smooth > (low + high) / 2, 0
+        return np.ones(n, bool), np.ones(n, bool)
+    upper, before, limit = smooth > (low + high) / 2, 0, (low + high) / 2
     for _ in range(20):
         k = int(np.count_nonzero(upper))
         if k == before:
             break
         total = float(smooth @ upper)
-        upper, before = smooth > (total / k + (float(smooth.sum()) - total) / (n - k)) / 2, k
-    return upper
+        limit = (total / k + (float(smooth.sum()) - total) / (n - k)) / 2
+        upper, before = smooth > limit, k
+    return upper, upper & (np.log1p(ratio) > limit)
 
 
 @functools.cache
@@ -186,9 +204,12 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     links = [2 * n > len(b[0]) for b, n in zip(parser.blocks, parser.links, strict=True) if b[2] not in gone]
     if not blocks:
         return ""
-    content = _content(blocks, sigma)
+    content, strong = _content(blocks, sigma)
     chosen = [b[2] for b, yes in zip(blocks, content, strict=True) if yes]
-    votes = [b[2] for b, yes, link in zip(blocks, content, links, strict=True) if yes and not link]
+    sure = {b[2] for b, yes, link in zip(blocks, strong, links, strict=True) if yes and not link}
+    # Lines that belong to the cluster by their neighbours alone vote in the regions of sure lines and beside them, not in others.
+    beside = {regions[r][1] for r in sure} - {0}
+    votes = [b[2] for b, yes, link in zip(blocks, content, links, strict=True) if yes and not link and (not sure or b[2] in sure or regions[b[2]][1] in beside)]
     top = _whole(functools.reduce(lambda a, b: _common(a, b, regions), votes or chosen), regions)
     inside: list[bool] = []
     for k, (_, parent) in enumerate(regions):

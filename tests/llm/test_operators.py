@@ -546,6 +546,43 @@ def test_html_keeps_short_sections_and_wrappers():
     assert "Home" not in op10_html.main_text(f"<body><article>{long}<div class=related-links>{links}</div></article></body>")
 
 
+def test_html_clustering_decides():
+    """The region of the ratio cluster is chosen, in an article too: with all lines in one cluster the result is another."""
+    long = f"<div><p>{'A sentence of the main text. ' * 20}</p><p>{'More of it. ' * 20}</p></div>"
+    bits = "<div>" + "".join(f"<div><b>x{i}</b> <i>y</i> <b>z</b></div>" for i in range(12)) + "</div>"
+    page = f"<body><div>{bits}{long}</div></body>"
+    assert op10_html.main_text(page).startswith("A sentence") and "x3" not in op10_html.main_text(page)
+    content = op10_html._content
+    try:
+        op10_html._content = lambda blocks, sigma: (np.ones(len(blocks), bool),) * 2
+        assert "x3" in op10_html.main_text(page)
+    finally:
+        op10_html._content = content
+
+
+def test_html_names_do_not_delete_text():
+    p = f"<p>{'A sentence of the main text. ' * 10}</p>"
+    names = ("legal", "social", "share", "related", "copyright", "legal-case-summary", "social-history", "header", "disclaimer")
+    page = "<article>" + p + "".join(f"<section class={n}><p>Part {n}.</p></section>" for n in names) + "</article>"
+    text = op10_html.main_text(page)
+    assert all(f"Part {n}." in text for n in names)
+    for n in ("comments", "ad", "cookie", "sidebar", "notice", "menu"):
+        assert "Part" not in op10_html.main_text(f"<article>{p}<div class={n}><p>Part of {n}.</p></div></article>")
+    teasers = "".join(f"<article><h3><a href=x{i}>Other story {i}</a></h3></article>" for i in range(2))
+    assert "Other" not in op10_html.main_text(f"<main><div>{p}{p}</div>{teasers}</main>")
+
+
+def test_html_paragraphs_and_depth():
+    assert op10_html.main_text("<p>one <b><i><u><s><em><a><q><small><big>deep<div>two</div>three") == "one deep\ntwo\nthree"
+    assert op10_html.main_text("<table><tr><td><p>a<table><tr><td><div>b</div></table>c</table>") == "a\nb\nc"
+    import time
+
+    for page in ("<b>" * 100_000 + "text", "<b>" * 50_000 + "</i>" * 50_000 + "text", "<div>" * 50_000 + "</p>" * 50_000 + "text", "<p>" + "<b>" * 50_000 + "<div>x" * 2):
+        began = time.perf_counter()
+        assert op10_html.main_text(page)
+        assert time.perf_counter() - began < 2
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
