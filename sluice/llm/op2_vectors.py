@@ -238,8 +238,8 @@ def near_duplicates(table: DataFrame, cosine: float = 0.9, tables: int = TABLES,
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(root)], ["id", "links", "root"])
 
     found = scratch.keep(dealt.mapInArrow(run, "id long, links long, root long"), "links")
-    group = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
-    scratch.drop(hashed, members)
+    group = scratch.keep(components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch), "groups")
+    scratch.clear(every, keys, found, group)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     known = keys.select("key", "id", "weight").join(links, "id", "left").join(group, "id", "left")
     known = known.select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))

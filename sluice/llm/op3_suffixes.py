@@ -524,7 +524,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     dealt = functools.reduce(DataFrame.unionByName, cold).repartition(tasks, "name").sortWithinPartitions("name")
     covered = scratch.keep(functools.reduce(DataFrame.unionByName, [_covered(dealt, length), *known]), "covered")
     spans = covered.groupBy("key").agg(F.collect_list("spans").alias("spans"))
-    cut = _cut(texts.select("key", "z").join(spans, "key")).distinct()
+    cut = scratch.keep(_cut(texts.select("key", "z").join(spans, "key")).distinct(), "cut")
+    scratch.clear(every, cut)
     known = every.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).join(cut, "key", "left")
     out = join_split(every, known, "key", "doc_id", rows_in_all)
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)

@@ -66,16 +66,25 @@ def statistics(column) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def with_statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The ``keep`` columns and a column of each statistic, with the prefix ``_q_``."""
-    schema = StructType([*(docs.schema[c] for c in keep), *(StructField(f"_q_{c}", DoubleType()) for c in STATS)])
+def free_name(docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have, in any case."""
+    name, taken = "_q", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def with_statistics(docs: DataFrame, keep: list[str], text: str = "text", name: str = "_q") -> DataFrame:
+    """The ``keep`` columns and a column ``name`` with a field for each statistic."""
+    schema = StructType([*(docs.schema[c] for c in keep), StructField(name, StructType([StructField(c, DoubleType()) for c in STATS]))])
     read = [*keep, *([] if text in keep else [text])]
     at = read.index(text)
 
     def run(batches):
         for part in pieces(batches, column=at):
             x = statistics(part.column(at))
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(x[:, j]) for j in range(len(STATS)))], [f.name for f in schema])
+            both = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x[:, j])) for j in range(len(STATS))], list(STATS))
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], both], [f.name for f in schema])
 
     return docs.select(*read).mapInArrow(run, schema)
 
@@ -87,13 +96,13 @@ class Rules:
     intercept: float
     rules: list[tuple[tuple[tuple[int, bool, float], ...], float]]
 
-    def column(self) -> Column:
-        """The score, 0 to 1, as an expression over the ``_q_`` columns."""
+    def column(self, name: str = "_q") -> Column:
+        """The score, 0 to 1, as an expression over the fields of the column ``name``."""
         total = F.lit(self.intercept)
         for rule, weight in self.rules:
             holds = None
             for j, low, t in rule:
-                c = F.col(f"_q_{STATS[j]}") <= t if low else F.col(f"_q_{STATS[j]}") > t
+                c = F.col(name)[STATS[j]] <= t if low else F.col(name)[STATS[j]] > t
                 holds = c if holds is None else holds & c
             total = total + F.when(holds, weight).otherwise(0.0)
         return 1 / (1 + F.exp(-total))
@@ -150,8 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Rules:
     known = known.orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "doc_id").limit(sample)
     # At most ``sample`` rows of two numbers: small enough for every executor.
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    got = with_statistics(rows, ["doc_id", "y"]).orderBy(F.xxhash64(F.lit("fit"), "doc_id"), *(f"_q_{c}" for c in STATS)).limit(sample).toArrow()
-    x = np.stack([got.column(f"_q_{c}").to_numpy() for c in STATS], 1) if got.num_rows else np.zeros((0, len(STATS)))
+    got = with_statistics(rows, ["doc_id", "y"]).orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "_q").limit(sample).select("y", "_q.*").toArrow()
+    x = np.stack([got.column(c).to_numpy() for c in STATS], 1) if got.num_rows else np.zeros((0, len(STATS)))
     return fit(x, got.column("y").to_numpy().astype(float))
 
 
@@ -163,11 +172,13 @@ def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_i
     table of labels gives 0.5 for every text.
     """
     rules = train(docs, labels, sample)
-    scored = with_statistics(docs, list(keep)).withColumn("score", rules.column())
-    return scored.select(*keep, held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= limit, 1).otherwise(0).alias("predicted"))
+    name = free_name(docs)
+    scored = with_statistics(docs, list(keep), name=name).select(*keep, rules.column(name).alias(f"{name}score"))
+    score = F.col(f"{name}score")
+    return scored.select(*keep, held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), F.when(score >= limit, 1).otherwise(0).alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, limit: float = 0.7, sample: int = SAMPLE) -> DataFrame:
     """``docs`` without the rows whose score is below ``limit``; all columns stay, whatever their names."""
-    rules = train(docs, labels, sample)
-    return with_statistics(docs, docs.columns).where(rules.column() >= limit).select(*docs.columns)
+    rules, name = train(docs, labels, sample), free_name(docs)
+    return with_statistics(docs, docs.columns, name=name).where(rules.column(name) >= limit).select(*(F.col(f"`{c}`") for c in docs.columns))

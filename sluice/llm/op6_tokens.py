@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .shared import partitions
 from .textbytes import pieces
 
+SHARD_BYTES = 256 << 20  # of text in a shard
 INDEX, TABLE, END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _ENTRY = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("n", "<u4")])
 _SEEK = np.dtype([("packed", "<u4"), ("size", "<u4"), ("sum", "<u4")])
@@ -35,8 +36,16 @@ _SEEK = np.dtype([("packed", "<u4"), ("size", "<u4"), ("sum", "<u4")])
 
 @functools.cache
 def _store(root: str):
+    """The file system of ``root`` and the path in it.
+
+    Files are written and read by the tasks with the file systems of pyarrow: local or
+    mounted folders, s3 (also under the names s3a and s3n), gs, abfs, and hdfs and viewfs where libhdfs is installed.
+    """
     from pyarrow import fs
 
+    scheme = root.partition("://")[0]
+    if scheme in ("s3a", "s3n"):
+        root = "s3" + root[3:]
     found, path = fs.FileSystem.from_uri(root)
     found.create_dir(path)
     return found, path
@@ -98,9 +107,8 @@ class _Writer:
         self.name, self.width = f"shard-{uuid.uuid4().hex}.zst", width
         self.out = store.open_output_stream(f"{path}/{self.name}", compression=None)
         self.pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
-        self.docs: list[tuple[int, int, int]] = []
-        self.seek: list[tuple[int, int, int]] = []
-        self.tokens = 0
+        self.docs, self.seek = bytearray(), bytearray()  # 25 bytes a document
+        self.n = self.tokens = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         import xxhash
@@ -108,15 +116,16 @@ class _Writer:
         data = ids.astype(f"<u{self.width}").tobytes()
         frame = self.pack(data)
         self.out.write(frame)
-        self.docs.append((doc_id is None, doc_id or 0, len(ids)))
-        self.seek.append((len(frame), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
+        self.docs += struct.pack("<BqI", doc_id is None, doc_id or 0, len(ids))
+        self.seek += struct.pack("<III", len(frame), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF)
+        self.n += 1
         self.tokens += len(ids)
 
     def close(self) -> None:
-        body = struct.pack("<IB", len(self.docs), self.width) + np.array(self.docs, _ENTRY).tobytes()
+        body = struct.pack("<IB", self.n, self.width) + self.docs
         index = struct.pack("<II", INDEX, len(body)) + body
-        seek = np.array([*self.seek, (len(index), 0, 0)], _SEEK).tobytes()
-        table = seek + struct.pack("<IBI", len(self.seek) + 1, 0x80, END)
+        seek = self.seek + struct.pack("<III", len(index), 0, 0)
+        table = seek + struct.pack("<IBI", self.n + 1, 0x80, END)
         self.out.write(index + struct.pack("<II", TABLE, len(table)) + table)
         self.out.close()
 
@@ -127,13 +136,14 @@ def write_ids(docs: DataFrame, tokenizer: str, root: str, end_id: int = 0, n_sha
     ``docs``: doc_id (long) and text; other columns are not read.  Null texts count as
     empty, so they hold the end id alone.  Null ids come first; documents with equal ids
     stay separate, in the order of their text, in one shard.  An empty table gives no shard.
+    Without ``n_shards`` there is one for each shuffle partition, and more for over ``SHARD_BYTES`` of text a shard.
     Manifest: first_null, first_id, name, n_docs, n_tokens.  Persist it before reading it
     twice: each run of its plan writes files anew.
     """
     from tokenizers import Tokenizer
 
     width = 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-    n = n_shards or max(partitions(docs.sparkSession), 8)
+    n = n_shards or max(partitions(docs.sparkSession), 8, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
     schema = "first_null boolean, first_id long, name string, n_docs long, n_tokens long"
 
     def run(batches):
@@ -149,7 +159,7 @@ def write_ids(docs: DataFrame, tokenizer: str, root: str, end_id: int = 0, n_sha
                 out.add(key, np.append(ids, np.uint32(end_id)))
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([first is None]), pa.array([first], pa.int64()), pa.array([out.name]), pa.array([len(out.docs)], pa.int64()), pa.array([out.tokens], pa.int64())], ["first_null", "first_id", "name", "n_docs", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([first is None]), pa.array([first], pa.int64()), pa.array([out.name]), pa.array([out.n], pa.int64()), pa.array([out.tokens], pa.int64())], ["first_null", "first_id", "name", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, schema)

@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     more = scratch.keep(_between(left.join(sets, "id"), percent, bands * rows, tasks), "links")
     if more.limit(1).count():
         group = scratch.keep(components(links.unionByName(more), scratch), "groups")
-    scratch.drop(shared, members, sets, first, placed, some)
+    scratch.clear(every, reps, group)
     same = reps.select("k1", "k2", "id").join(group, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
     out = every.select("doc_id", "n_shingles", "k1", "k2").join(same, ["k1", "k2"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("component").isNull()

@@ -28,6 +28,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.paths: list[str] = []  # of tables that are still there
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -39,6 +40,7 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        self.paths.append(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -48,6 +50,16 @@ class Scratch:
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
             path.getFileSystem(conf).delete(path, True)
+            if t.scratch_path in self.paths:
+                self.paths.remove(t.scratch_path)
+
+    def clear(self, *stay: DataFrame) -> None:
+        """Delete all tables but those that the result still reads; what stays is the caller's to delete with the folder ``root``."""
+        left = {t.scratch_path for t in stay}
+        for path in [p for p in self.paths if p not in left]:
+            table = self.spark.range(0)
+            table.scratch_path = path
+            self.drop(table)
 
 
 FEW = 20_000  # rows of a table that may be sent to all executors; more are joined by shuffle

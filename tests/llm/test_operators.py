@@ -191,6 +191,12 @@ def test_quality(spark, docs, empty):
     assert op4_quality.classify(docs, labels.limit(0)).where("score != 0.5").count() == 0
     assert op4_quality.classify(empty, labels).count() == 0
     assert op4_quality.keep_good(d.withColumn("score", d.doc_id), labels).columns == ["doc_id", "text", "score"]
+    odd = d.withColumns({"_q": F.lit(1), "_q_digits": F.lit("x"), "_Q_": F.lit(None)})
+    kept = op4_quality.keep_good(odd, labels)
+    assert kept.columns == odd.columns and {q.doc_id for q in kept.collect()} >= set(range(80)) and not {q.doc_id for q in kept.collect()} & set(range(80, 160))
+    assert op4_quality.classify(odd, labels, keep=("doc_id", "_q_digits")).count() == len(rows)
+    both = op4_quality.classify(d.unionByName(spark.createDataFrame([(950, "x " * 200_000), (951, "y" * 300_000), (0, rows[0][1])], "doc_id long, text string")), labels.unionByName(spark.createDataFrame([(3, 0), (3, 1), (4, 7)], "doc_id long, quality int")))
+    assert all(0 <= q.score <= 1 for q in both.collect()) and len({q.score for q in both.where("doc_id = 0").collect()}) == 1
     x = op4_quality.statistics(pa.array(good + bad))
     rules = op4_quality.fit(x, np.array([1.0] * 80 + [0.0] * 80))
     have = {q.doc_id: q.s for q in op4_quality.with_statistics(d, ["doc_id"]).select("doc_id", rules.column().alias("s")).collect()}
