@@ -174,6 +174,22 @@ def test_vectors(spark):
         root = _components(len(ids), lambda i, j: (ids[i], ids[j]) in linked)  # noqa: B023
         assert got == {v: (sum(a == v for a, _ in linked), ids[root[k]]) for k, v in enumerate(ids)}
     assert op2_vectors.near_duplicates(d.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, [1.0, 2.0]), (7, [1.0, 2.0]), (7, [1.0, 2.0]), (8, [2.0, 4.1]), (9, [0.0, 1e300]), (3, [0.0, 1e-300])], "vec_id long, embedding array<double>").withColumn("component_id", F.lit(1))
+    got = sorted((q.vec_id is None, q.vec_id or 0, q.n_links, q.component_id, q.kept) for q in op2_vectors.near_duplicates(odd).collect())
+    assert got == [(False, 3, 1, 3, True), (False, 7, 2, 7, True), (False, 7, 2, 7, True), (False, 8, 2, 7, False), (False, 9, 1, 3, False), (True, 0, 0, None, True)]
+
+
+def test_vectors_near_the_threshold(spark):
+    """Recall of pairs with a cosine of 0.90 to 0.92 among unrelated vectors."""
+    r = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(r.standard_normal((1500, 64)))
+    y = r.standard_normal((1500, 64))
+    y = unit(y - (x * y).sum(1, keepdims=True) * x)
+    c = r.uniform(0.9005, 0.92, (1500, 1))
+    both = np.concatenate([x, c * x + np.sqrt(1 - c * c) * y])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
+    assert op2_vectors.near_duplicates(d).where("n_links > 0").count() >= 2 * 1500 * 0.999
 
 
 def test_quality(spark, docs, empty):
@@ -337,6 +353,16 @@ def test_pieces(docs, empty):
     assert op7_pieces.encode(empty, model).count() == 0
 
 
+def test_pieces_of_long_words(spark):
+    """One word of 120,000 letters, alone and beside others, has the same ids."""
+    model, word = _vocabulary("piece_bpe_32k.model"), "abcdefghij" * 12_000
+    alone = spark.createDataFrame([(5, word)], "doc_id long, text string")
+    beside = alone.unionByName(spark.createDataFrame([(6, "x" * 40 + " " + "y" * 41), (7, word + "z")], "doc_id long, text string")).coalesce(1)
+    one = op7_pieces.encode(alone, model).collect()[0]
+    got = {r.doc_id: r for r in op7_pieces.encode(beside, model).collect()}
+    assert one.lossless and got[5].ids == one.ids and all(r.lossless for r in got.values())
+
+
 def test_pieces_are_drawn_in_proportion():
     import sentencepiece
 
@@ -513,6 +539,22 @@ def test_url_scores_are_exact(spark):
     for i, t in enumerate(text):
         want = [math.log(p(counts[0], t, k) / p(counts[1], t, k)) for k in range(3, len(t))] or [0.0]
         assert abs(got[i].score - sum(want) / len(want)) < 1e-9
+    # The threshold, by trying all steps.
+    steps = [(math.floor(got[i].score * 50), i < 400) for i in held if i < 800 and len(text[i]) > 3]
+    kinds = [sum(a for _, a in steps), sum(not a for _, a in steps)]
+    gain = lambda b: sum(a / kinds[0] if s >= b else 0 for s, a in steps if a) + sum(1 / kinds[1] for s, a in steps if not a and s < b)
+    best = max(range(min(0, min(steps)[0]), max(0, max(steps)[0]) + 1), key=lambda b: (round(gain(b), 9), -abs(b), b)) / 50
+    for i in range(800, len(text)):
+        assert got[i].rule is None and got[i].verdict == ("allow" if got[i].score >= best else "block")
+
+
+def test_urls_of_awkward_tables(spark):
+    long = "http://a.org/" + "x%20y/" * 20_000
+    rows = [(1, "http://a.org/b", "h"), (1, "http://a.org/b", "h"), (None, "http://b.com/de/c", None), (2, long, "v"), (3, long, "v"), (4, None, None), (5, "", ""), (6, "http://c.net/" + "é😀" * 50, "x")]
+    d = spark.createDataFrame(rows, "page_id long, url string, verdict string").withColumns({"host": F.lit(1), "path": F.lit(2), "rule": F.lit(3), "score": F.lit(4), "text": F.lit(5)})
+    got = op9_urls.url_filter(d, URL_RULES).collect()
+    assert len(got) == len(rows) and sum(r.page_id == 1 for r in got) == 2 and [r.verdict for r in got if r.page_id is None] == ["block"]
+    assert all(r.verdict == "allow" and r.host == "a.org" for r in got if r.page_id in (1, 2, 3)) and [(r.host, r.path) for r in got if r.page_id in (4, 5)] == [("", "")] * 2
 
 
 def test_html(spark):
@@ -589,6 +631,55 @@ def test_html_paragraphs_and_depth():
         assert time.perf_counter() - began < 2
 
 
+WORDS_OF = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+|\w+", re.UNICODE)
+
+
+def _windows(text, opening_as_names):
+    """Template windows of five tokens, three words or more, by plain string work (for texts without units and attached numbers)."""
+    out, end, start = [], 0, True
+    for m in WORDS_OF.finditer(text):
+        between = text[end : m.start()]
+        opens = start or bool(set(".!?:\n") & set(between))
+        w, start, end = m[0], False, m.end()
+        low = w.lower()
+        if w[0].isdigit() or low in op1_templates.NUMBER_WORDS.split():
+            out.append(("", "NUM"))
+        elif out and out[-1][1] == "NUM" and low in op1_templates.UNITS.split():
+            out.append(("", "UNIT"))
+        elif low[0] != w[0] and (not opens or opening_as_names):
+            out.append(("", "NAME"))
+        else:
+            out.append(("w", low))
+    rows = [tuple(out[i : i + 5]) for i in range(len(out) - 4)]
+    return [tuple(x for _, x in r) for r in rows if sum(bool(k) for k, _ in r) >= 3]
+
+
+def test_templates_on_whole_tables(spark):
+    """Every document with an item's very words is found, and every one found holds 0.8 of its windows, by plain string work."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "benchmark"))
+    texts, items = {r.doc_id: r.text or "" for r in docs.collect()}, {r.item_id: r.text for r in bench.collect() if r.text}
+    got = {(r.doc_id, r.item_id) for r in op1_templates.find(docs, bench).collect()}
+    plain = lambda s: " ".join(s.lower().split())
+    flat = {d: plain(t) for d, t in texts.items()}
+    verbatim = {(d, i) for i, q in items.items() for d, t in flat.items() if plain(q) in t}
+    assert verbatim and verbatim <= got
+    held = {d: {w for named in (False, True) for w in _windows(texts[d], named)} for d, _ in got}
+    for d, i in got:
+        some = [[w in held[d] for w in _windows(items[i], named)[1:]] for named in (False, True)]
+        assert max(sum(x) / max(1, len(x)) for x in some) >= 0.75  # 0.8, but for windows whose opening word has both forms
+
+
+def test_templates_of_awkward_tables(spark):
+    item = "Alice bought 12 apples from the market near the old bridge and gave them to all of her friends"
+    rows = [(None, item), (1, "word " * 300_000 + item), (2, None), (3, ""), (4, "A" * 400_000), (1, "word " * 300_000 + item)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"item_id": F.lit(1), "_text": F.lit("x"), "n_windows": F.lit(2)})
+    bench = spark.createDataFrame([(7, item), (7, item), (None, item), (8, "")], "item_id long, text string").withColumn("doc_id", F.lit(3))
+    got = [(r.doc_id, r.item_id) for r in op1_templates.find(d, bench).collect()]
+    assert sorted(got, key=str) == sorted([(x, y) for x in (None, 1, 1) for y in (7, 7, None)], key=str)
+    kept = op1_templates.decontaminate(d, bench)
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -601,3 +692,43 @@ def test_pipeline(spark):
         if name != "pieces":
             assert docs.columns == source.columns
     assert docs.where("not lossless").count() == 0
+
+
+def test_pipeline_stages_equal_brute_force(spark, monkeypatch):
+    """Each stage after the first against plain Python, on a table with nulls, empty texts and columns of clashing names."""
+    import corpus_pipeline
+
+    r = random.Random(12)
+    words = ["w%d" % i for i in range(300)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    item = "Alice bought 12 apples from the market near the old bridge and gave them to all of her friends"
+    base = [text(60) for _ in range(8)]
+    near = [" ".join(w if k % 40 else "changed" for k, w in enumerate(b.split())) for b in base]
+    texts = [*base, *base[:3], *near, None, "", " ", item, f"{text(20)} {item} {text(9)}", f"{text(5)} mail a.b@c.org or 10.0.0.1 {text(5)}", "one two", text(3000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, component_id long, _gone long, spans string, id long, ids string"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, 2, "x", 3, "y") for i, t in enumerate(texts)], schema).repartition(2)
+    stages, sf = dict(corpus_pipeline.STAGES), "/root/testdata/sf0.001"
+    scored = {x.doc_id: x.score for x in op4_quality.classify(docs, spark.read.parquet(f"{sf}/labels.parquet").limit(0)).collect()}
+    good = stages["quality"](spark, docs, sf)
+    assert good.columns == docs.columns and len(scored) == len(texts)
+    # near_dups
+    sets = []
+    for x in texts:
+        w = WORD.findall((x or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = _components(len(texts), lambda i, j: bool(sets[i] & sets[j]) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+    kept = stages["near_dups"](spark, docs, sf)
+    assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == [i for i, x in enumerate(root) if i == x]
+    # leaks
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = op1_templates.decontaminate(docs, bench)
+    assert clean.columns == docs.columns and sorted(x.doc_id for x in clean.collect()) == [i for i, x in enumerate(texts) if item not in (x or "")]
+    # pii
+    masked = {x.doc_id: x for x in stages["pii"](spark, docs, sf).collect()}
+    for i, x in enumerate(texts):
+        want = None if x is None else x.replace("a.b@c.org", "<email>").replace("10.0.0.1", "<ip>")
+        assert (masked[i].text, masked[i].n_chars, masked[i].spans) == (want, None if want is None else len(want), "x")
+    # pieces
+    ids = stages["pieces"](spark, docs, sf)
+    back = {x.doc_id: x.text for x in op7_pieces.decode(ids, _vocabulary("piece_bpe_32k.model")).collect()}
+    assert back == {i: x or "" for i, x in enumerate(texts)}
