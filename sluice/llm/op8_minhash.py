@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch, blocks, join_split, partitions
+from .shared import Scratch, blocks, few, join_split, partitions
 from .textbytes import lists, mix, pieces, utf8, words
 
 BANDS, ROWS = 60, 7
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     spread = reps.select("id", "n", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("band", "size", "pivot")
     shared = scratch.keep(shared, "buckets")
-    members = scratch.keep(spread.join(shared, "band"), "members")
+    members = scratch.keep(join_split(spread, shared, "band", "id", bands * reps.count(), shared.select("band", F.col("size").alias("_n"))), "members")
     wanted = members.select("id").distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     sets = scratch.keep(_sets(text.join(wanted, "id"), width, bands * rows), "sets")
@@ -258,10 +258,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     # Last: buckets of three and more that hold several components, between components.
     placed = of(of(members.where("size > 2"), "id", "c"), "pivot", "major")
     placed = scratch.keep(placed.select("band", "size", "id", "n", "c", "major"), "placed")
-    mixed = placed.where("c != major").select("band").distinct()
+    mixed, _ = few(scratch.keep(placed.where("c != major").select("band").distinct(), "mixed"))
     tasks = 2 * partitions(spark)
     some = scratch.keep(_candidates(placed.join(mixed, "band", "left_semi").join(sets.select("id", "short"), "id"), percent, bands * rows, tasks), "candidates")
-    left = placed.drop("size").join(some, ["band", "id"]).join(some.groupBy("band").agg(F.count(F.lit(1)).alias("size")), "band")
+    sizes, _ = few(scratch.keep(some.groupBy("band").agg(F.count(F.lit(1)).alias("size")), "sizes"))
+    left = placed.drop("size").join(some, ["band", "id"]).join(sizes, "band")
     more = scratch.keep(_between(left.join(sets, "id"), percent, bands * rows, tasks), "links")
     if more.limit(1).count():
         group = scratch.keep(components(links.unionByName(more), scratch), "groups")

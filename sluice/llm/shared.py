@@ -74,16 +74,19 @@ def few(table: DataFrame) -> tuple[DataFrame, int]:
 PART = 500  # rows of one key that a join leaves together
 
 
-def join_split(left: DataFrame, right: DataFrame, key: str, by: str, total: int) -> DataFrame:
+def join_split(left: DataFrame, right: DataFrame, key: str, by: str, total: int, sizes: DataFrame | None = None) -> DataFrame:
     """Inner join of ``left`` (``total`` rows) with ``right`` (one row a key); the rows of a frequent key are dealt over tasks by column ``by``.
 
+    ``sizes`` may give the rows of each key as (key, _n); else they are counted.
+
     Frequent are keys with more than ``PART`` rows and more than one row in ``FEW``: at most
     ``FEW`` keys, whatever the input, so they may be broadcast.
     """
     limit = max(PART, total // FEW)
     if total <= limit:
         return left.join(right, key)
-    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    sizes = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")) if sizes is None else sizes
+    hot = sizes.where(F.col("_n") > limit)
     hot = F.broadcast(hot.select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
     one = left.join(hot, key, "left").withColumn("_s", F.coalesce(F.pmod(F.xxhash64(by), "_parts"), F.lit(0)).cast("int")).drop("_parts")
     two = right.join(hot, key, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
