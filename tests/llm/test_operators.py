@@ -86,6 +86,19 @@ def test_minhash(docs, empty, width):
     assert kept.columns == docs.columns
 
 
+def test_frequent_keys_are_dealt(spark, docs, monkeypatch):
+    """The same result if nearly every key counts as frequent and every bucket as large."""
+    from sluice.llm import shared
+
+    want = sorted(map(str, op8_minhash.near_duplicates(docs, 2).collect()))
+    monkeypatch.setattr(shared, "PART", 1)
+    monkeypatch.setattr(op8_minhash, "BLOCK", 2)
+    assert sorted(map(str, op8_minhash.near_duplicates(docs, 2).collect())) == want
+    monkeypatch.setattr(shared, "FEW", 1)
+    left, right = spark.range(40).selectExpr("id % 3 as k", "id as v"), spark.range(3).selectExpr("id as k", "id * 2 as w")
+    assert sorted(map(tuple, shared.join_split(left, right, "k", "v", 40).collect())) == sorted((i % 3, i, i % 3 * 2) for i in range(40))
+
+
 def test_minhash_buckets_without_links(spark):
     r = random.Random(1)
     passage = " ".join(f"p{i}" for i in range(60))
