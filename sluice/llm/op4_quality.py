@@ -1,9 +1,9 @@
 """Quality classifier: conjunctive rules from trees, lasso logistic weights, compiled to Spark columns.
 
-Statistics of whole texts come from one vectorised pass.  Boosted trees on a bounded
-sample of labelled rows give the rules (the conditions on the way to each node), a lasso
-logistic regression keeps a sparse weighted set of them, and the ensemble becomes one
-Spark expression over the statistics.
+Statistics of whole texts come from one vectorised pass.  Boosted trees on all labelled
+rows that are not held out give the rules (the conditions on the way to each node), a
+lasso logistic regression on the same rows keeps a sparse weighted set of them, and the
+ensemble becomes one Spark expression over the statistics.
 """
 
 from __future__ import annotations
@@ -16,14 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from . import training
+from .shared import Scratch, join_split
 from .textbytes import pieces, utf8, words
-from .trees import boost, lasso
+from .trees import boost, holds, lasso, together
 
 STATS = (
     "log_words", "word_length", "upper", "digits", "symbols", "commas", "stops", "other_bytes", "lines", "line_words",
     "distinct", "adjacent", "odd_ends", "shouted", "bare_symbols", "longest_word",
 )
-SAMPLE = 8000  # labelled rows used for fitting, by hash of doc_id
 
 _KIND = np.full(256, 4, np.int64)  # 0 upper, 1 lower, 2 digit, 3 blank, 4 symbol, 5 comma etc., 6 stop, 7 beyond ASCII, 8 line end, 9 continuation
 _KIND[65:91], _KIND[97:123], _KIND[48:58] = 0, 1, 2
@@ -110,41 +111,45 @@ class Rules:
     def scores(self, x: np.ndarray) -> np.ndarray:
         z = np.full(len(x), self.intercept)
         for rule, weight in self.rules:
-            z += weight * _holds(rule, x)
+            z += weight * holds(rule, x)
         return 1 / (1 + np.exp(-z))
 
 
-def _holds(rule, x: np.ndarray) -> np.ndarray:
-    out = np.ones(len(x), bool)
-    for j, low, t in rule:
-        out &= (x[:, j] <= t) if low else (x[:, j] > t)
-    return out
+def fit(x: np.ndarray, y: np.ndarray, n_trees: int = 30, depth: int = 3, seed: int = 0) -> Rules:
+    """``fit_rows`` on arrays."""
+    return fit_rows(training.of_arrays(x, y, np.random.default_rng(seed).random(len(y)) < 0.2), n_trees, depth)
 
 
-def fit(x: np.ndarray, y: np.ndarray, n_trees: int = 30, depth: int = 3, seed: int = 0) -> Rules:
-    """Rules of boosted trees, weighted by a lasso whose penalty is chosen on a fifth of the rows.
+def fit_rows(rows: training.Rows, n_trees: int = 30, depth: int = 3) -> Rules:
+    """Rules of boosted trees, weighted by a lasso on all rows; its penalty is the best on the rows with mark 1 (about a fifth) after a fit on the others.
 
     Without rows, or with one class alone, the score is the share of label 1 (0.5 without rows).
     """
-    start, trees = boost(x, y, n_trees, depth, seed=seed)
+    start, trees = boost(rows, n_trees, depth)
     paths = list(dict.fromkeys(p for t in trees for p in t.paths()))
-    held = np.random.default_rng(seed).random(len(y)) < 0.2
-    if not paths or y[~held].min() == y[~held].max():
+    bins = [{float(t): i for i, t in enumerate(c)} for c in rows.cuts]
+    by_bin = lambda path: tuple((j, low, bins[j][t]) for j, low, t in path)
+
+    def classes(mark: int) -> int:
+        got = np.resize(rows.total(lambda b: np.bincount(b.y[b.part == mark], minlength=2).astype(np.int64)), 2)
+        return int((got > 0).sum())
+
+    if not paths or classes(0) < 2:
         return Rules(start, [])
-    r = np.stack([_holds(p, x) for p in paths], 1).astype(float)
-    _, first = np.unique(r, axis=1, return_index=True)
-    first = np.sort(first)
-    r, paths = r[:, first], [paths[i] for i in first]
-    scale = np.maximum(r.std(0), 0.05)
-    best = (np.inf, 0.01)
+    both = together(rows, [by_bin(p) for p in paths])
+    count = np.diag(both)
+    # Of paths that hold for the same rows the first one stays.
+    same = (both == count[:, None]) & (both == count[None, :])
+    first = [k for k in range(1, len(count)) if not same[k, 1:k].any() and 0 < count[k] < count[0]]
+    paths, share = [paths[k - 1] for k in first], count[first] / count[0]
+    scale, binned = np.maximum(np.sqrt(share * (1 - share)), 0.05), [by_bin(p) for p in paths]
+    w, best = np.append(start, np.zeros(len(paths))), (np.inf, 0.01)
     for penalty in (0.03, 0.01, 0.003, 0.001):
-        b, w = lasso(r[~held] / scale, y[~held], penalty)
-        z = b + r[held] / scale @ w
-        loss = float(np.mean(np.logaddexp(0, z) - y[held] * z))
+        w, loss = lasso(rows, binned, scale, penalty, w, skip=1)
         if loss < best[0] * 0.98:
-            best = (loss, penalty)
-    b, w = lasso(r / scale, y, best[1])
-    return Rules(b, [(p, float(v / s)) for p, v, s in zip(paths, w, scale, strict=True) if abs(v) > 1e-6])
+            best, at = (loss, penalty), w
+    w, _ = lasso(rows, binned, scale, best[1], at)
+    return Rules(float(w[0]), [(p, float(v)) for p, v, s in zip(paths, w[1:], scale, strict=True) if abs(v * s) > 1e-6])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -152,33 +157,44 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Rules:
-    """Fit on at most ``sample`` labelled rows, those with the smallest hash of doc_id among all not held out."""
+def train(docs: DataFrame, labels: DataFrame, local: int = training.LOCAL) -> Rules:
+    """Fit on all labelled rows that are not held out; of up to ``local`` rows the binned statistics come to the driver."""
+    scratch = Scratch(docs.sparkSession, "rules")
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
-    known = known.orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "doc_id").limit(sample)
-    # At most ``sample`` rows of two numbers: small enough for every executor.
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    got = with_statistics(rows, ["doc_id", "y"]).orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "_q").limit(sample).select("y", "_q.*").toArrow()
-    x = np.stack([got.column(c).to_numpy() for c in STATS], 1) if got.num_rows else np.zeros((0, len(STATS)))
-    return fit(x, got.column("y").to_numpy().astype(float))
-
-
-def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), limit: float = 0.7, sample: int = SAMPLE) -> DataFrame:
+    known = known.groupBy("doc_id").agg(F.max("quality").cast("long").alias("y"))
+    rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    # Statistics first, so that no text is shuffled.
+    rows = scratch.keep(with_statistics(rows, ["doc_id"]), "statistics")
+    total = rows.count()
+    rows = join_split(rows, known, "doc_id", "_q", total).withColumn("part", (F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(5)) == 0).cast("long"))
+
+    def pack(batches):
+        for b in batches:
+            x = np.stack([np.asarray(b.column(c)) for c in STATS], 1)
+            if len(x):
+                yield training.raw(x, np.asarray(b.column("y")), np.asarray(b.column("part")))
+
+    table = scratch.keep(rows.select("y", "part", *(F.col("_q")[c].alias(c) for c in STATS)).mapInArrow(pack, training.RAW), "rows")
+    rules = fit_rows(training.of_table(table, len(STATS), scratch, local))
+    scratch.clear()
+    return rules
+
+
+def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), limit: float = 0.7) -> DataFrame:
     """The ``keep`` columns, held_out, score (0 to 1) and predicted (1 if score >= limit), for each row of ``docs``.
 
     Labels, lang, source and doc_id are no inputs of the score.  Null and empty texts are
     scored by their statistics (all counts 0).  Repeated rows get equal scores.  An empty
     table of labels gives 0.5 for every text.
     """
-    rules = train(docs, labels, sample)
+    rules = train(docs, labels)
     name = free_name(docs)
     scored = with_statistics(docs, list(keep), name=name).select(*keep, rules.column(name).alias(f"{name}score"))
     score = F.col(f"{name}score")
     return scored.select(*keep, held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), F.when(score >= limit, 1).otherwise(0).alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, limit: float = 0.7, sample: int = SAMPLE) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, limit: float = 0.7) -> DataFrame:
     """``docs`` without the rows whose score is below ``limit``; all columns stay, whatever their names."""
-    rules, name = train(docs, labels, sample), free_name(docs)
+    rules, name = train(docs, labels), free_name(docs)
     return with_statistics(docs, docs.columns, name=name).where(rules.column(name) >= limit).select(*(F.col(f"`{c}`") for c in docs.columns))

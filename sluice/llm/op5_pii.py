@@ -3,20 +3,22 @@
 Generators propose spans that may overlap: everything that looks roughly like an e-mail
 address, an IP address, a card number or a phone number, in strict and loose spellings.
 Boosted trees score each candidate from its format and the text around it, never from the
-checks below; a threshold for each kind, calibrated on a part of the sample that the trees
-did not see, selects redactions.
+checks below; a threshold for each kind, calibrated on the documents that the trees did
+not see, selects redactions.  Every document counts: two thirds, by hash of doc_id, in the
+trees, the others in the thresholds.
 
 Spans of the base formats that pass their checks (see ``base_spans``) are always selected.
 Labels of the other candidates come from evidence that the trees do not see: a loose
 spelling is positive if its normal form passes the check of its kind, and, where that is
 weak (numbers without a plus sign, lists of small numbers), a cue word stands before it.
-As loose spellings are rare in a corpus, checked spans of the sample are also rewritten to
+As loose spellings are rare in a corpus, all checked spans are also rewritten to
 them in place; parts of these are negative.  Thresholds are calibrated on candidates that
 are not base spans alone, so a kind whose candidates cannot be told apart adds nothing.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import zlib
@@ -26,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import training
+from .shared import Scratch
 from .textbytes import pieces
-from .trees import boost
+from .trees import boost, sums
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS, SAMPLE_SPANS = 4000, 20000  # rows and candidates used for fitting
 PRECISION = 0.98
+LEVELS = 1 << 14  # steps of the thresholds
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -194,30 +198,43 @@ class Selector:
         return out
 
 
+HELD, BASE, KIND = 1, 2, 4  # marks of a candidate: for the thresholds; a base span; steps of its kind
+
+
 def fit(x: np.ndarray, y: np.ndarray, base: np.ndarray, precision: float = PRECISION) -> Selector:
-    """Trees on two thirds; on the rest, without the ``base`` spans, the lowest threshold of each kind whose candidates above it reach ``precision``.
+    """``fit_rows`` on arrays; every third row is for the thresholds."""
+    part = (np.arange(len(y)) % 3 == 2) * HELD + base.astype(bool) * BASE + x[:, 0].astype(np.int64) * KIND
+    return fit_rows(training.of_arrays(x, y, part), precision)
+
+
+def _levels(block: training.Block, start: float, trees: list) -> np.ndarray:
+    """Of the candidates for the thresholds: how many, and how many with label 1, by kind and score."""
+    on = block.part & (HELD | BASE) == HELD
+    score = 1 / (1 + np.exp(-sums(block, start, trees)[on]))
+    spot = (block.part[on] // KIND).astype(np.int64) * LEVELS + np.minimum((score * LEVELS).astype(np.int64), LEVELS - 1)
+    return np.stack([np.bincount(spot, w, len(KINDS) * LEVELS) for w in (None, block.y[on])]).astype(np.int64).ravel()
 
-    A kind without twenty such candidates on the rest adds nothing.
+
+def fit_rows(rows: training.Rows, precision: float = PRECISION) -> Selector:
+    """Trees on the rows without the mark ``HELD``; on the others, without base spans, the lowest threshold of each kind whose candidates above it reach ``precision``.
+
+    A kind without twenty such candidates there adds nothing.
     """
-    held = np.arange(len(y)) % 3 == 2
-    start, trees = boost(x[~held], y[~held], 40, 3)
+    start, trees = boost(rows, 40, 3, skip=HELD)
     model = Selector(start, trees, {})
-    held &= ~base
-    score = model.scores(x[held])
+    got = np.resize(rows.total(functools.partial(_levels, start=start, trees=trees)), 2 * len(KINDS) * LEVELS).reshape(2, len(KINDS), LEVELS)
     for k, kind in enumerate(KINDS):
-        mine = x[held][:, 0] == k
-        order = np.argsort(-score[mine], kind="stable")
-        s, right = score[mine][order], np.cumsum(y[held][mine][order])
-        good = np.flatnonzero((right / np.arange(1, len(s) + 1) >= precision) & (np.arange(1, len(s) + 1) >= 20) & (np.append(s[1:], -1) < s))
-        model.limits[kind] = max(0.5, float(s[good[-1]])) if len(good) else 2.0
+        n, right = (np.cumsum(v[::-1])[::-1] for v in got[:, k])
+        good = np.flatnonzero((n >= 20) & (right >= precision * n) & (got[0, k] > 0))
+        model.limits[kind] = max(0.5, float(good[0] / LEVELS)) if len(good) else 2.0
     return model
 
 
-def examples(text: str) -> list[tuple[int, bool, float, list[float]]]:
-    """Candidates of a text and of its checked spans rewritten: place, whether a base span, label, features."""
+def examples(text: str) -> list[tuple[bool, float, list[float]]]:
+    """Candidates of a text and of its checked spans rewritten: whether a base span, label, features."""
     base = base_spans(text)
     known = set(base)
-    out = [(c[1], c in known, float(c in known or agrees(text, c)), features(text, c)) for c in candidates(text, base)]
+    out = [(c in known, float(c in known or agrees(text, c)), features(text, c)) for c in candidates(text, base)]
     for kind, s, e in base:
         k = zlib.crc32(text[s:e].encode()) + s
         for j in range(2):
@@ -229,31 +246,33 @@ def examples(text: str) -> list[tuple[int, bool, float, list[float]]]:
                 continue  # still a base span, or one in part
             for c in dict.fromkeys([*candidates(near, []), whole]):
                 if c[1] < whole[2] and whole[1] < c[2]:
-                    out.append((s, False, float(c == whole), features(near, c)))
+                    out.append((False, float(c == whole), features(near, c)))
     return out
 
 
-def train(docs: DataFrame, docs_most: int = SAMPLE_DOCS, spans_most: int = SAMPLE_SPANS) -> Selector:
-    """Fit on candidates of about ``docs_most`` documents, chosen by hash of doc_id, at most ``spans_most`` of them."""
-    total = docs.count()
-    share = max(1, -(-total // docs_most))
+def train(docs: DataFrame, local: int = training.LOCAL) -> Selector:
+    """Fit on the candidates of all documents; of up to ``local`` candidates the binned features come to the driver."""
+    scratch = Scratch(docs.sparkSession, "spans")
 
     def run(batches):
         for part in pieces(batches):
-            keys, rows = [], []
-            for key, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                for s, base, y, x in examples(text) if text else ():
-                    keys.append((key, s, base, y))
-                    rows.append(x)
-            flat = pa.array(np.array(rows, float).ravel() if rows else np.zeros(0))
-            xs = pa.FixedSizeListArray.from_arrays(flat, N_FEATURES).cast(pa.list_(pa.float64()))
-            columns = zip(*keys, strict=True) if keys else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.float64()), strict=True)), xs], ["doc_id", "s", "base", "y", "x"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.pmod(F.xxhash64(F.lit("pii"), "doc_id"), F.lit(share)) == 0)
-    got = rows.mapInArrow(run, "doc_id long, s long, base boolean, y double, x array<double>").orderBy(F.xxhash64("doc_id", "s"), "doc_id", "s", "y", "x").limit(spans_most).toArrow()
-    x = np.array(got.column("x").to_pylist(), float).reshape(-1, N_FEATURES)
-    return fit(x, got.column("y").to_numpy().astype(float), np.array(got.column("base").to_pylist(), bool))
+            x, y, marks = [], [], []
+            for held, text in zip(part.column("held").to_pylist(), part.column("text").to_pylist(), strict=True):
+                for base, label, values in examples(text) if text else ():
+                    x.append(values)
+                    y.append(label)
+                    marks.append(held * HELD + base * BASE + int(values[0]) * KIND)
+                if len(y) >= training.BLOCK:
+                    yield training.raw(np.array(x, float), np.array(y), np.array(marks))
+                    x, y, marks = [], [], []
+            if y:
+                yield training.raw(np.array(x, float), np.array(y), np.array(marks))
+
+    held = (F.pmod(F.xxhash64(F.lit("pii"), F.col("doc_id").cast("long")), F.lit(3)) == 2).cast("int")
+    table = scratch.keep(docs.select(held.alias("held"), "text").mapInArrow(run, training.RAW), "candidates")
+    model = fit_rows(training.of_table(table, N_FEATURES, scratch, local))
+    scratch.clear()
+    return model
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:

@@ -745,3 +745,46 @@ def test_pipeline_stages_equal_brute_force(spark, monkeypatch):
     ids = stages["pieces"](spark, docs, sf)
     back = {x.doc_id: x.text for x in op7_pieces.decode(ids, _vocabulary("piece_bpe_32k.model")).collect()}
     assert back == {i: x or "" for i, x in enumerate(texts)}
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """What only rows beyond the 8,000 with the least hashes show."""
+    r = random.Random(9)
+    words = "alpha beta gamma delta epsilon zeta".split()
+    ids = spark.range(11_600).where(~op4_quality.held_out(F.col("id"))).orderBy(F.xxhash64(F.lit("fit"), "id"), "id")
+    ids = [x.id for x in ids.collect()]
+    assert len(ids) > 8_300
+    text = lambda n, k: " ".join(f"{r.choice(words)}{k}" for _ in range(n))
+    rows = [(i, text(6, ""), 1) if k % 2 else (i, text(6, "77"), 0) for k, i in enumerate(ids[:8_000])] + [(i, text(6, " $% &#"), 0) for i in ids[8_000:]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    rules = op4_quality.train(d, d)
+    low = rules.scores(op4_quality.statistics(pa.array([text(6, " $% &#"), text(6, "77")])))
+    assert low.max() < 0.5 < rules.scores(op4_quality.statistics(pa.array([text(6, "")])))[0]
+
+
+def test_pii_learns_from_every_document(spark):
+    """What only documents outside the old half by hash show; rows summed on the driver and in a stored table give one model."""
+    odd = spark.range(6_000).select("id", (F.pmod(F.xxhash64(F.lit("pii"), "id"), F.lit(2)) == 0).alias("even")).collect()
+    d = spark.createDataFrame([(x.id, "plain words" if x.even else f"mail to name{x.id}@mail{x.id % 7}.example.org today") for x in odd], "doc_id long, text string")
+    model = op5_pii.train(d)
+    assert model.limits["email"] <= 1 and model.limits["card"] > 1
+    stored = op5_pii.train(d.repartition(3), local=0)
+    assert (stored.start, stored.trees, stored.limits) == (model.start, model.trees, model.limits)
+
+
+def test_training_sums_do_not_depend_on_the_cut(spark, monkeypatch):
+    from sluice.llm import training, trees
+
+    r = np.random.default_rng(2)
+    x, y = r.standard_normal((20_000, 3)), r.integers(0, 2, 20_000)
+    paths = [((0, True, 9),), ((1, False, 4), (2, True, 20))]
+    rows = training.of_arrays(x, y, y * 0)
+    a = np.asarray(rows.total(lambda b: trees._slopes(b, paths, np.array([0.1, 0.2, -0.3]), 1)))
+    order = r.permutation(20_000)
+    parts = [(x[k], y[k], y[k] * 0) for k in np.array_split(order, 90)]
+    d = spark.createDataFrame([(len(v), p.tobytes(), v.astype(np.uint8).tobytes(), m.astype(np.uint8).tobytes()) for p, v, m in parts], training.RAW).repartition(90)
+    monkeypatch.setattr(training, "FILE", 250)
+    monkeypatch.setattr(training, "PARTS", 8)
+    stored = training.of_table(d, 3, Scratch(spark, "test"), local=0)
+    b = np.asarray(stored.total(lambda b: trees._slopes(b, paths, np.array([0.1, 0.2, -0.3]), 1)))
+    assert stored.tasks == 80 and (a == b).all() and all((p == q).all() for p, q in zip(rows.cuts, stored.cuts, strict=True))
