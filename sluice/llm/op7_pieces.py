@@ -26,8 +26,9 @@ from .textbytes import hashes, lists, mix, pieces, powers
 
 MARK, ODD = 0x2581, 0x10FFFF + 1  # the mark of a blank; stands for a mark in the text itself
 _BITS = 19
+BATCH = 1 << 19  # bytes of text that are segmented at once; arrays of some sixty times that size stand beside them
 _SLOTS = 1 << _BITS
-MOST_KNOWN = 1_000_000  # characters of words that a worker keeps; later words are filtered for their batch alone
+MOST_KNOWN = 500_000  # characters of words that a worker keeps; later words are filtered for their batch alone
 
 
 class _Known:
@@ -326,11 +327,11 @@ def encode(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 1) -> Da
 
     Null and empty texts have no ids.  Rows are independent: repeated rows give repeated,
     equal rows; null keys share one seed.  Columns other than doc_id and text are not read.
-    Memory is bounded by batches of about 1 MB of text, or by the longest text.
+    Memory is bounded by batches of about 512 KB of text, or by the longest text.
     """
 
     def run(batches):
-        for part in pieces(batches):
+        for part in pieces(batches, BATCH):
             texts = ["" if x is None else x for x in part.column("text").to_pylist()]
             ids, same = segmented(model, alpha, texts, key_seeds(part.column("doc_id"), seed))
             count = np.array([len(x) for x in ids])

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textbytes import release
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.  Unset only in local tests: then a temporary one."""
@@ -119,3 +121,5 @@ def blocks(batches, names: tuple[str, ...]):
             held.append(batch.slice(a, b - a))
     if held:
         yield key, held
+    del held
+    release()

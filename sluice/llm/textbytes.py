@@ -9,6 +9,9 @@ of many overlapping windows only: strings of 1,024 bytes can agree by constructi
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -108,6 +111,22 @@ def pieces(batches, most: int = 1 << 20, column: str | int = "text"):
             total += n
         if at < batch.num_rows:
             yield batch.slice(at)
+    release()
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker outlives its tasks, and the JVM beside it needs the room."""
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
 
 
 _SPACE = np.zeros(256, bool)

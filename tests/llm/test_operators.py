@@ -788,3 +788,25 @@ def test_training_sums_do_not_depend_on_the_cut(spark, monkeypatch):
     stored = training.of_table(d, 3, Scratch(spark, "test"), local=0)
     b = np.asarray(stored.total(lambda b: trees._slopes(b, paths, np.array([0.1, 0.2, -0.3]), 1)))
     assert stored.tasks == 80 and (a == b).all() and all((p == q).all() for p, q in zip(rows.cuts, stored.cuts, strict=True))
+
+
+def test_pieces_in_bounded_memory(spark):
+    import tracemalloc
+
+    class Table:
+        """Runs the worker's function here."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            r = random.Random(5)
+            texts = ["".join(r.choice("abcdefghij klmnop") for _ in range(4_000)) for _ in range(512)]
+            tracemalloc.start()
+            n = sum(b.num_rows for b in run([pa.RecordBatch.from_arrays([pa.array(range(512)), pa.array(texts)], ["doc_id", "text"])]))
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            return n, peak
+
+    n, peak = op7_pieces.encode(Table(), _vocabulary("piece_bpe_32k.model"))
+    assert n == 512 and peak < 165 << 20
